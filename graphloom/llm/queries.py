@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import simhash
+from graphloom.llm import sentencepiece, simhash, warc
+
+#: The vocabulary file; a parameter of the encoder, never a part of this library.
+MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.encode(table(spark, sf_dir, "documents"), MODEL_FILE)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_warc": op8_warc,
+}
+ORACLE_SQL = {
+    "op8_warc": warc.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
