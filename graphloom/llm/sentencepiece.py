@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Units and pairs of pieces that a worker remembers at most; then it starts afresh.
-REMEMBER = 300_000
+REMEMBER = 500_000
 
 codecs.register_error("graphloom-bytes", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -89,7 +89,7 @@ class Model:
         inner = any(SPACE in p.lstrip(SPACE) for p in self.id)
         self.units = re.compile(".+", re.DOTALL) if inner else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
         self.bytes = [int(p[1:-1], 16).to_bytes() if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, k in self.pieces]
-        self.unit: dict[str, tuple[int, ...]] = {}
+        self.unit: dict[str, bytes] = {}
         self.beside: dict[int, bool] = {}
         self.whole = [k == NORMAL and self.merged(p) == [i] for i, (p, _, k) in enumerate(self.pieces)] if self.bpe else []
 
@@ -118,12 +118,20 @@ class Model:
         n = len(run)
         last, start = [-1] * (n + 1), [0] * (n + 1)
         if self.bpe:
-            whole, stands = self.whole, self.stands
+            whole, stands, beside = self.whole, self.stands, self.beside
             for end, (i, size) in self.automaton.iter(run):
                 end += 1
                 if last[end] < 0:
                     at = end - size
-                    if whole[i] if at == 0 else last[at] >= 0 and stands(last[at], i):
+                    if not at:
+                        fits = whole[i]
+                    elif (before := last[at]) >= 0:
+                        fits = beside.get(before << 24 | i)
+                        if fits is None:
+                            fits = stands(before, i)
+                    else:
+                        continue
+                    if fits:
                         last[end], start[end] = i, at
         else:
             best, score = [0.0] + [float("-inf")] * n, self.score
@@ -137,16 +145,16 @@ class Model:
             n = start[n]
         return out[::-1]
 
-    def _encode(self, unit: str) -> tuple[int, ...]:
-        out: list[int] = []
+    def _encode(self, unit: str) -> bytes:
+        out = array("i")
         for run in self.runs.findall(unit) if self.bpe else self._split(unit):
             if len(run) > 1 or run in self.id:
-                out += self._walk(run)
+                out.extend(self._walk(run))
             elif self.byte:
-                out += [self.byte[b] for b in run.encode()]
+                out.extend(self.byte[b] for b in run.encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return tuple(out)
+        return out.tobytes()
 
     def _split(self, unit: str) -> list[str]:
         """Unigram: where a character isn't a piece of its own, pieces that hold it may still match."""
@@ -182,7 +190,7 @@ class Model:
                     if len(unit) >= REMEMBER:
                         unit.clear()
                     unit[u] = ids
-            out.extend(ids)
+            out.frombytes(ids)
         return out
 
     def decode(self, ids) -> str:
