@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +51,38 @@ def drop(df: DataFrame | None) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """mapInPandas that keeps bigint columns with nulls as they are, where pandas would make them floats."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+    ints = {pa.int64(): pd.Int64Dtype()}.get
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in run(b.to_pandas(types_mapper=ints) for b in batches):
+            yield pa.RecordBatch.from_pandas(got, schema=out, preserve_index=False)
+
+    return df.mapInArrow(go, schema)
+
+
+def groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The runs of rows that agree in the integer columns names, of batches that are sorted by them."""
+    held: list[pd.DataFrame] = []
+    key = None
+    for b in batches:
+        if not len(b):
+            continue
+        at = b[names].to_numpy(np.int64)
+        starts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist()]
+        for x, y in zip(starts, [*starts[1:], len(b)], strict=True):
+            now = tuple(at[x])
+            if held and now != key:
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+                held = []
+            key = now
+            held.append(b.iloc[x:y])
+    if held:
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of a graph of bigint nodes: edges (u, v) to (node, component), component the smallest node.
 

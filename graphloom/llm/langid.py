@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._shared import frames
+
 #: Buckets of hashed n-grams, a power of two.
 BUCKETS = 8192
 #: Texts that the centroids are fitted on, for all languages together; each language gets an equal share.
@@ -135,7 +137,7 @@ def predict(docs: DataFrame, model: Centroids | None, id_col: str = "doc_id", te
                     pred[good], score[good] = m.nearest([b["text"].iloc[i] for i in good])
                 yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), "lang_pred": pred, "score": score, "rejected": score < reject_below})
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return frames(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import connected_components, materialize
+from graphloom.llm._shared import connected_components, frames, groups, materialize
 
 SEED = 42
 #: Pairs of trie nodes with no more pairs of fingerprints than this are compared at once.
@@ -55,7 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, words_per_shingle) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, fp bigint")
+    return frames(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id bigint, fp bigint")
 
 
 def blocks(bits: int, budget: int) -> list[tuple[int, int]]:
@@ -154,20 +154,13 @@ def near_links(nodes: DataFrame, budget: int = 4, bits: int = 64) -> DataFrame:
         return keys[moved].view(np.int64), keys[label[moved]].view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, held = ["block", "root", "i", "j"], None
-        for b in batches:
-            b = b if held is None else pd.concat([held, b], ignore_index=True)
-            at = b[names].to_numpy(np.int64)
-            starts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1]) if len(at) else np.array([0])
-            held = b.iloc[starts[-1] :]
-            found = [links(b.iloc[x:y]) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True) if y - x > 1]
-            if found:
-                yield pd.DataFrame({"u": np.concatenate([f[0] for f in found]), "v": np.concatenate([f[1] for f in found])})
-        if held is not None and len(held) > 1:
-            u, v = links(held)
-            yield pd.DataFrame({"u": u, "v": v})
-
-    return dealt.mapInPandas(run, "u bigint, v bigint")
+        for g in groups(batches, ["block", "root", "i", "j"]):
+            if len(g) > 1:
+                u, v = links(g)
+                if len(u):
+                    yield pd.DataFrame({"u": u, "v": v})
+
+    return frames(dealt, run, "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4, budget: int = 4) -> DataFrame:

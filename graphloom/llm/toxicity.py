@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm._shared import frames
+
 #: Labelled documents of either class that the model is fitted on at most.
 FIT_ROWS = 5000
 #: Features that are kept at most, the strongest first.
@@ -274,10 +276,22 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores, "predicted": [int(s >= 0.5) for s in scores], "spans": spans})
 
     schema = "doc_id bigint, score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return frames(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, spans): fitted where crc32(doc_id) mod 5 is not 0, scored for all rows."""
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+def keep_clean(docs: DataFrame, field: Field | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score below 0.5, with all their columns; no shuffle, no join."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
+
+    @F.pandas_udf("boolean")
+    def toxic(text: pd.Series) -> pd.Series:
+        m = held.value
+        return pd.Series([m is not None and m.score(m.marginals(WORD.findall((t or "").lower()))[1]) >= 0.5 for t in text])
+
+    return docs.where(~toxic(F.col(text_col)))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import materialize, shared_dir
+from graphloom.llm._shared import frames, materialize, shared_dir
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 STEP = 1 << 16
@@ -186,7 +186,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             out = None
 
         for b in batches:
-            for page_id, url, html, refers in zip(b["page_id"].astype("Int64"), b["url"], b["html"], b["refers_to"].astype("Int64"), strict=True):
+            for page_id, url, html, refers in zip(b["page_id"], b["url"], b["html"], b["refers_to"], strict=True):
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = system.open_output_stream(f"{top}/.{name}.part", compression=None)
@@ -199,7 +199,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             close()
         yield pd.DataFrame(done, columns=["path", "records", "bytes"])
 
-    return materialize(rows.mapInPandas(run, "path string, records bigint, bytes bigint"), "warc-manifest")
+    return materialize(frames(rows, run, "path string, records bigint, bytes bigint"), "warc-manifest")
 
 
 RECORD = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
@@ -228,7 +228,8 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
         out = pd.DataFrame(rows)
         return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return manifest.select("path").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, schema)
+    files = manifest.select("path").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return frames(files, run, schema)
 
 
 def warc_round_trip(pages: DataFrame, **names: str) -> DataFrame:
