@@ -30,6 +30,8 @@ FEATURES = 4000
 LEAST_TOXIC, LEAST_RATIO = 3, 8.0
 PREFIXES = (4, 5, 6)
 WINDOW = 6
+#: Windows of a document that the field is trained on at most: its first marked tokens.
+WINDOWS = 4
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 REMEMBER = 300_000
 
@@ -219,9 +221,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 found = [[number[f] for f in features(w) if f in number] for w in words]
                 marked = [i for i, f in enumerate(found) if f]
                 covered, out = -1, []
-                for i in marked[:40] or [len(words) // 2]:
+                for i in marked or [len(words) // 2]:
                     if i <= covered:
                         continue
+                    if len(out) == WINDOWS:
+                        break
                     covered = i + WINDOW
                     row, tags = [], []
                     for j in range(i - WINDOW, i + WINDOW + 1):
@@ -232,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if out:
                     yield pd.DataFrame(out, columns=["row", "tags"])
 
-    got = rows.mapInPandas(window, "row array<int>, tags array<int>").limit(40_000).toPandas()
+    got = rows.mapInPandas(window, "row array<int>, tags array<int>").limit(4 * WINDOWS * fit_rows).toPandas()
     width = 2 * WINDOW + 1
     windows, tags = np.stack(got["row"]).reshape(-1, width, 4).astype(np.int64), np.stack(got["tags"]).astype(np.int64)
     order = np.lexsort(np.concatenate([windows.reshape(len(windows), -1), tags], 1).T)  # the same field for any order of rows
