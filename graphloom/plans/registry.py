@@ -26,6 +26,3 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-from graphloom.plans import catalog_queries, constraint_queries, grounding_queries, shell_queries, stream_queries, text_queries  # noqa: E402, F401

@@ -1 +1,143 @@
-"""Queries."""
+"""Queries of the text and value functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import text as T
+from graphloom.functions import values as V
+from graphloom.plans import fixtures as X
+from graphloom.plans import sql as S
+from graphloom.plans.registry import query, table
+
+#: Names in mixed case, as identifiers have them.
+_PARTS = "p AS (SELECT p_partkey, 'has' || upper(left(p_name, 1)) || replace(substr(p_name, 2), ' ', 'XMLOf') || 'Links' AS name FROM part)"
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select("p_partkey", F.concat(F.lit("has"), F.upper(F.substring("p_name", 1, 1)), F.replace(F.expr("substr(p_name, 2)"), F.lit(" "), F.lit("XMLOf")), F.lit("Links")).alias("name"))
+
+
+@query("text_camel", f"WITH {_PARTS} SELECT p_partkey, {S.camel('name')} AS words FROM p")
+def camel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R01"""
+    return _names(spark, sf_dir).select("p_partkey", T.split_camel("name").alias("words"))
+
+
+@query("text_normalised", f"SELECT doc_id, {S.norm('text')} AS words FROM documents")
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R02 over whole documents"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.normalise("text").alias("words"))
+
+
+@query("text_stems", f"WITH w AS (SELECT DISTINCT unnest(string_split({S.norm('text')}, ' ')) AS word FROM benchmark) SELECT word, {S.stem('word')} AS stem FROM w")
+def stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R03"""
+    w = table(spark, sf_dir, "benchmark").select(F.explode(F.split(T.normalise("text"), " ")).alias("word")).distinct()
+    return w.select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@query("text_tokens", f"SELECT item_id, array_to_string({S.tokens('text')}, ' ') AS toks, len({S.tokens('text', True)}) AS n_all FROM benchmark")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R04"""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.tokens("text"), " ").alias("toks"), F.size(T.tokens("text", True)).cast("bigint").alias("n_all"))
+
+
+@query("text_token_counts", f"SELECT tok, count(*) AS n FROM (SELECT unnest({S.lexical('text')}) AS tok FROM conversations) GROUP BY tok")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R10"""
+    return table(spark, sf_dir, "conversations").select(F.explode(T.lexical_tokens("text")).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
+
+
+@query("text_phrases", f"SELECT count(*) AS n FROM part a, (SELECT DISTINCT p_name FROM part) b WHERE {S.phrase(S.norm('a.p_type || chr(32) || a.p_name'), S.norm('b.p_name'))}")
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names are joined by their first word before the phrase is looked for"""
+    p = table(spark, sf_dir, "part")
+    a = p.select("p_partkey", T.normalise(F.concat_ws(" ", "p_type", "p_name")).alias("t"))
+    b = p.select(T.normalise("p_name").alias("alias")).distinct().withColumn("w", F.element_at(F.split("alias", " "), 1))
+    words = a.select("p_partkey", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
+    return words.join(b, "w").where(T.contains_phrase("t", "alias")).select("p_partkey", "alias").distinct().agg(F.count("*").alias("n"))
+
+
+@query("text_local_names", f"SELECT page_id, {S.local('url')} AS name FROM pages")
+def local_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R08"""
+    return table(spark, sf_dir, "pages").select("page_id", T.local_name("url").alias("name"))
+
+
+@query("text_side_tokens", f"WITH {X.TERMS_SQL} SELECT id, array_to_string(list_sort({S.side('\"range\"')}), ' ') AS toks FROM terms")
+def side_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R09"""
+    return X.terms(spark).select("id", F.array_join(F.array_sort(T.side_tokens("range")), " ").alias("toks"))
+
+
+_ENTITY = "trim(label || '. ' || kind || '. ' || note || CASE WHEN type = 'property' THEN '. domain ' || \"domain\" || ' range ' || \"range\" ELSE '' END)"
+
+
+@query("text_entities", f"WITH {X.TERMS_SQL} SELECT id, {_ENTITY} AS body FROM terms")
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R11"""
+    return X.terms(spark).select("id", T.entity_text("label", "kind", "note", "type", "domain", "range").alias("body"))
+
+
+@query("text_fingerprint", f"WITH {X.TERMS_SQL} SELECT sha1(string_agg(id || '|' || {_ENTITY}, '' ORDER BY id)) AS fingerprint FROM terms")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R12"""
+    return X.terms(spark).agg(T.fingerprint("id", T.entity_text("label", "kind", "note", "type", "domain", "range")).alias("fingerprint"))
+
+
+@query("text_rule_text", f"WITH {X.RULES_SQL} SELECT rule_id, 'Rule number: ' || number || chr(10) || 'Rule title: ' || title || chr(10) || 'Data constraint:' || chr(10) || text AS body FROM rules")
+def rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R20"""
+    return X.rules(spark, sf_dir).select("rule_id", T.rule_text("number", "title", "text").alias("body"))
+
+
+@query("text_without_prefixes", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'x ' || p_name ELSE '@prefix b: <http://b/> .' || chr(10) || 'x ' || p_name END AS body FROM part")
+def without_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R21"""
+    line = F.when(F.col("p_partkey") % 2 == 0, "@prefix a: <http://a/> .").otherwise("@prefix b: <http://b/> .")
+    return table(spark, sf_dir, "part").select("p_partkey", T.without_prefix_lines(F.concat(line, F.lit("\nx "), "p_name"), F.lit("@prefix a: <http://a/> .\n@prefix sh: <s> .")).alias("body"))
+
+
+@query("redact_events", r"SELECT event_id, regexp_replace(regexp_replace(replace('call Authorization: Bearer t' || event_id || ', key=' || props || ' password = p' || user_id || '; api_key:abc', 'call', '[redacted]'), '(authorization\s*[:=]\s*bearer\s+)[^\s,;]+', '\1[redacted]', 'gi'), '((?:api[_-]?key|token|password|secret)\s*[:=]\s*)[^\s,;]+', '\1[redacted]', 'gi') AS body FROM events")
+def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R15"""
+    s = lambda c: F.col(c).cast("string")
+    body = F.concat(F.lit("call Authorization: Bearer t"), s("event_id"), F.lit(", key="), "props", F.lit(" password = p"), s("user_id"), F.lit("; api_key:abc"))
+    return table(spark, sf_dir, "events").select("event_id", T.redact(body, ["call"]).alias("body"))
+
+
+_FORMS = ["3", "3.0", "3.5", "-1", " 7 ", "1_000", "+4", "true", "FALSE", "1", "t", "", "1e2"]
+_CASES = "v AS (SELECT p_partkey, list_extract([" + ", ".join(f"'{f}'" for f in _FORMS) + f"], CAST(p_partkey % {len(_FORMS)} + 1 AS INT)) AS x FROM part)"
+
+
+@query("text_coercions", f"""WITH {_CASES}, d AS (SELECT *, try_cast(trim(x) AS DOUBLE) AS num FROM v)
+SELECT p_partkey, CASE WHEN num >= 0 AND num = floor(num) AND x <> '1_000' THEN CAST(num AS BIGINT) END AS whole, CASE lower(trim(x)) WHEN 'true' THEN TRUE WHEN '1' THEN TRUE WHEN 'false' THEN FALSE WHEN '0' THEN FALSE END AS truth,
+ CASE WHEN x = '1_000' THEN NULL ELSE num END AS number, CASE WHEN regexp_matches(trim(x), '^\\+?\\d+(_\\d+)*$') THEN CAST(replace(replace(trim(x), '_', ''), '+', '') AS BIGINT) END AS cardinality, lower(trim(x)) IN ('1', 'true', 'yes', 'on') AS truthy FROM d""")
+def coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H01-H06, H45, S21"""
+    x = F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (F.col("p_partkey") % len(_FORMS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.integer_value(x).alias("whole"), V.boolean_value(x).alias("truth"), V.number_value(x).alias("number"), V.count_value(x).alias("cardinality"), V.truthy(x).alias("truthy"))
+
+
+@query("text_clients", "SELECT event_id, CASE WHEN user_id % 2 = 0 AND event_id % 3 < 2 THEN CASE event_id % 3 WHEN 0 THEN '10.0.0.' || user_id ELSE 'fe80::1' END ELSE CASE WHEN user_id % 2 = 0 THEN 'proxy' ELSE 'peer' END END AS client FROM events")
+def clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W43"""
+    k = F.col("event_id") % 3
+    sent = F.when(k == 0, F.concat(F.lit(" 10.0.0."), F.col("user_id").cast("string"), F.lit(", 1.1.1.1"))).when(k == 1, "fe80::1").otherwise("999.1.1.1")
+    return table(spark, sf_dir, "events").select("event_id", V.client_id(F.when(F.col("user_id") % 2 == 0, "proxy").otherwise("peer"), sent, ["proxy"]).alias("client"))
+
+
+@query("text_payload_limits", "SELECT doc_id, octet_length(encode(text)) <= 2097 AS fits FROM documents")
+def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thousandths of a megabyte"""
+    return table(spark, sf_dir, "documents").select("doc_id", V.within_mb("text", 0.002).alias("fits"))
+
+
+@query("text_models", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'system.ai.small' WHEN 1 THEN 'org/small' WHEN 2 THEN 'system.ai.small' ELSE '' END AS model, CASE WHEN p_partkey % 4 = 1 THEN 'huggingface' ELSE '' END AS provider FROM part")
+def models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H40, H66"""
+    m = F.element_at(F.array(*[F.lit(x) for x in ("small", "org/small", "system.ai.small", " ")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", V.model_id(m).alias("model"), V.provider(F.lit(""), m).alias("provider"))
