@@ -36,7 +36,9 @@ STRUCTURAL = ["and", "or", "xone", "not", "node", "property", "qualifiedValueSha
 NOT_CONSTRAINTS = ["type", "path", "targetClass"]
 BOUNDS = [("minCount", "maxCount"), ("minLength", "maxLength"), ("minInclusive", "maxInclusive"), ("minExclusive", "maxExclusive")]
 
-P = F.col("predicate")
+
+def P() -> Column:  # noqa: N802
+    return F.col("predicate")
 
 
 def of_map(x: Column, table: dict[str, int]) -> Column:
@@ -66,8 +68,8 @@ def collect(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     shacl = F.col("p").startswith("sh:")
     held = triples.where(shacl).select(F.col("s").alias("o"), F.lit(True).alias("holds")).distinct()
     rows = shapes.where("target_class is not null and (path is null or path_kind = 'iri')").join(triples.where(shacl), F.col("shape") == F.col("s"))
-    rows = rows.withColumn("predicate", F.substring("p", 4, 1 << 20)).where(~P.isin(NOT_CONSTRAINTS))
-    rows = rows.join(held, "o", "left").where((F.col("o_kind") != "bnode") | F.col("holds") | P.isin(STRUCTURAL))
+    rows = rows.withColumn("predicate", F.substring("p", 4, 1 << 20)).where(~P().isin(NOT_CONSTRAINTS))
+    rows = rows.join(held, "o", "left").where((F.col("o_kind") != "bnode") | F.col("holds") | P().isin(STRUCTURAL))
     return rows.select("shape", "target_class", "path", "predicate", F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), "ord")
 
 
@@ -92,10 +94,10 @@ def consolidate(constraints: DataFrame, keys: list[str]) -> DataFrame:
         F.min_by("value", order).alias("first"),
         F.count_distinct(identity()).alias("n"),
     )
-    bound = P.isin(HIGHER + LOWER) & (F.col("bad") == 0)
-    one = F.when(P.isin(HIGHER), F.col("high")).when(P.isin(LOWER), F.col("low")).otherwise(F.col("first"))
-    single = g.where(bound | P.isin(FIRST)).select(*keys, "predicate", F.array(F.when(P.isin(FIRST), F.col("first")).otherwise(one)).alias("values"), (P.isin(FIRST) & (F.col("n") > 1)).alias("conflict"))
-    rest = g.where(~(bound | P.isin(FIRST))).select(*keys, "predicate")
+    bound = P().isin(HIGHER + LOWER) & (F.col("bad") == 0)
+    one = F.when(P().isin(HIGHER), F.col("high")).when(P().isin(LOWER), F.col("low")).otherwise(F.col("first"))
+    single = g.where(bound | P().isin(FIRST)).select(*keys, "predicate", F.array(F.when(P().isin(FIRST), F.col("first")).otherwise(one)).alias("values"), (P().isin(FIRST) & (F.col("n") > 1)).alias("conflict"))
+    rest = g.where(~(bound | P().isin(FIRST))).select(*keys, "predicate")
     listed = constraints.groupBy(*keys, "predicate", identity().alias("id")).agg(F.min("ord").alias("ord"), F.min("value").alias("value"))
     listed = listed.join(rest, [*keys, "predicate"], "left_semi").groupBy(*keys, "predicate").agg(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["value"]).alias("values"))
     return single.unionByName(listed.withColumn("conflict", F.lit(False)))
@@ -125,22 +127,22 @@ def merge(constraints: DataFrame, keys: list[str]) -> DataFrame:
     )
     common = F.array_sort(F.reduce(F.slice("lists", 2, 1 << 20), F.array_distinct(F.element_at("lists", 1)), lambda a, b: F.array_intersect(a, b)))
     g = g.withColumn("common", F.when(F.size("lists") > 0, common))
-    one = F.when(P.isin(HIGHER), F.coalesce("high", "first")).when(P.isin(LOWER), F.coalesce("low", "first")).when(P.isin(TRUE_WINS), F.col("truth").cast("string"))
-    one = one.when(P.isin(PRIORITY + CHECKED), F.col("first")).when(P == "nodeKind", F.coalesce("kind", "first"))
-    members = F.when(P.isin(INTERSECTED), F.when(F.size("common") > 0, F.col("common")).otherwise(F.col("first_list"))).when(P == "and", F.array_distinct(F.flatten(F.array_sort("lists"))))
+    one = F.when(P().isin(HIGHER), F.coalesce("high", "first")).when(P().isin(LOWER), F.coalesce("low", "first")).when(P().isin(TRUE_WINS), F.col("truth").cast("string"))
+    one = one.when(P().isin(PRIORITY + CHECKED), F.col("first")).when(P() == "nodeKind", F.coalesce("kind", "first"))
+    members = F.when(P().isin(INTERSECTED), F.when(F.size("common") > 0, F.col("common")).otherwise(F.col("first_list"))).when(P() == "and", F.array_distinct(F.flatten(F.array_sort("lists"))))
     warning = (
-        F.when(P.isin(INTERSECTED) & (F.size("lists") > 0) & (F.size("common") == 0), "empty intersection; kept the generated list")
-        .when(P.isin(PRIORITY) & (F.col("n") > 1), "logical constraints could not be combined safely; kept the generated constraint")
-        .when(P.isin(CHECKED) & (F.col("nodes") > 1), "conflicting values; kept the generated value")
+        F.when(P().isin(INTERSECTED) & (F.size("lists") > 0) & (F.size("common") == 0), "empty intersection; kept the generated list")
+        .when(P().isin(PRIORITY) & (F.col("n") > 1), "logical constraints could not be combined safely; kept the generated constraint")
+        .when(P().isin(CHECKED) & (F.col("nodes") > 1), "conflicting values; kept the generated value")
     )
-    picked = P.isin(HIGHER + LOWER + TRUE_WINS + PRIORITY + CHECKED + ["nodeKind"])
-    lists = P.isin([*INTERSECTED, "and"])
+    picked = P().isin(HIGHER + LOWER + TRUE_WINS + PRIORITY + CHECKED + ["nodeKind"])
+    lists = P().isin([*INTERSECTED, "and"])
     single = g.where(picked | lists).select(*keys, "predicate", F.when(picked, F.array(one)).alias("values"), F.when(lists, members).alias("members"), warning.alias("warning"))
     # the rest keeps all values, of metadata the generated ones where there are any
     kept = c.join(g.where(~(picked | lists)).select(*keys, "predicate", "any_generated"), [*keys, "predicate"])
-    kept = kept.where(~P.isin(METADATA) | generated | ~F.col("any_generated"))
+    kept = kept.where(~P().isin(METADATA) | generated | ~F.col("any_generated"))
     kept = kept.groupBy(*keys, "predicate", identity().alias("id")).agg(F.min("order").alias("o")).groupBy(*keys, "predicate").agg(F.array_sort(F.collect_list("o")).alias("o"))
-    firsts = F.when(P.isin(METADATA) & (F.element_at("o", 1)["r"] == 1), F.slice("o", 1, 1)).otherwise(F.col("o"))
+    firsts = F.when(P().isin(METADATA) & (F.element_at("o", 1)["r"] == 1), F.slice("o", 1, 1)).otherwise(F.col("o"))
     kept = kept.select(*keys, "predicate", F.transform(firsts, lambda s: s["value"]).alias("values"), F.lit(None).cast("array<string>").alias("members"), F.lit(None).cast("string").alias("warning"))
     return single.unionByName(kept)
 
@@ -148,7 +150,7 @@ def merge(constraints: DataFrame, keys: list[str]) -> DataFrame:
 def incompatible_bounds(merged: DataFrame, keys: list[str]) -> DataFrame:
     """S24. (keys, low, high, low_value, high_value) of keys whose merged minimum is over its maximum."""
     value = V.number_value(F.element_at("values", 1))
-    out = merged.where(P.isin([p for pair in BOUNDS for p in pair])).groupBy(*keys).agg(*[F.max(F.when(P == p, value)).alias(p) for pair in BOUNDS for p in pair])
+    out = merged.where(P().isin([p for pair in BOUNDS for p in pair])).groupBy(*keys).agg(*[F.max(F.when(P() == p, value)).alias(p) for pair in BOUNDS for p in pair])
     rows = F.filter(F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), F.col(a).alias("low_value"), F.col(b).alias("high_value")) for a, b in BOUNDS]), lambda s: s["low_value"] > s["high_value"])
     return out.select(*keys, F.explode(rows).alias("b")).select(*keys, "b.*")
 
@@ -190,9 +192,9 @@ def focused(constraints: DataFrame, roles: DataFrame) -> DataFrame:
 def normalise_literals(constraints: DataFrame) -> DataFrame:
     """S42, S21. Counts become integers, flags booleans, texts strings; changed marks rows whose value or datatype did."""
     whole, truth = V.integer_value("value"), V.boolean_value("value")
-    as_int = P.isin(COUNTS) & whole.isNotNull() & (F.col("kind") == "literal") & ~T.text("dt").isin("xsd:integer")
-    as_bool = P.isin(BOOLEANS) & truth.isNotNull() & (F.col("kind") == "literal") & ~T.text("dt").isin("xsd:boolean")
-    as_text = P.isin("pattern", "flags", "message") & (F.col("kind") == "literal") & ~T.text("dt").isin("xsd:string") & ~((P == "message") & (T.text("dt") == "rdf:langString"))
+    as_int = P().isin(COUNTS) & whole.isNotNull() & (F.col("kind") == "literal") & ~T.text("dt").isin("xsd:integer")
+    as_bool = P().isin(BOOLEANS) & truth.isNotNull() & (F.col("kind") == "literal") & ~T.text("dt").isin("xsd:boolean")
+    as_text = P().isin("pattern", "flags", "message") & (F.col("kind") == "literal") & ~T.text("dt").isin("xsd:string") & ~((P() == "message") & (T.text("dt") == "rdf:langString"))
     value = F.when(as_int, whole.cast("string")).when(as_bool, truth.cast("string")).otherwise(F.col("value"))
     dt = F.when(as_int, "xsd:integer").when(as_bool, "xsd:boolean").when(as_text, "xsd:string").otherwise(F.col("dt"))
     return constraints.withColumns({"value": value, "dt": dt, "changed": F.when(as_int, "integer_literals_normalized").when(as_bool, "boolean_literals_normalized").when(as_text, "string_literals_normalized")})
@@ -229,16 +231,16 @@ def normalise(constraints: DataFrame, keys: list[str]) -> DataFrame:
     kind = F.when(F.col("mask") == 7, F.lit(None))
     for k, m in NODE_KINDS.items():
         kind = kind.when(F.col("mask") == m, F.lit(k))
-    numeric = P.isin(MINIMA + MAXIMA) & many & (F.col("bad_num") == 0)
-    boolean = P.isin(BOOLEANS) & many & (F.col("bad_truth") == 0)
-    severity = (P == "severity") & many & (F.col("bad_sev") == 0)
-    kinds = (P == "nodeKind") & many
-    flags = (P == "flags") & many & (F.col("bad_lit") == 0)
-    merged = P.isin("in", "languageIn", "ignoredProperties") & (lists > 1) & (F.col("bad_list") == 0)
-    conjoined = P.isin("pattern", "datatype", "qualifiedValueShape") & many
+    numeric = P().isin(MINIMA + MAXIMA) & many & (F.col("bad_num") == 0)
+    boolean = P().isin(BOOLEANS) & many & (F.col("bad_truth") == 0)
+    severity = (P() == "severity") & many & (F.col("bad_sev") == 0)
+    kinds = (P() == "nodeKind") & many
+    flags = (P() == "flags") & many & (F.col("bad_lit") == 0)
+    merged = P().isin("in", "languageIn", "ignoredProperties") & (lists > 1) & (F.col("bad_list") == 0)
+    conjoined = P().isin("pattern", "datatype", "qualifiedValueShape") & many
     one = (
-        F.when(numeric, F.array(F.when(P.isin(MINIMA), F.col("high")).otherwise(F.col("low"))))
-        .when(boolean, F.array(F.when(P.isin(STRICT_BOOLEANS), F.col("any")).otherwise(F.col("all")).cast("string")))
+        F.when(numeric, F.array(F.when(P().isin(MINIMA), F.col("high")).otherwise(F.col("low"))))
+        .when(boolean, F.array(F.when(P().isin(STRICT_BOOLEANS), F.col("any")).otherwise(F.col("all")).cast("string")))
         .when(severity, F.array("worst"))
         .when(kinds & (F.col("bad_mask") == 0), F.when(F.col("mask") == 7, F.array().cast("array<string>")).otherwise(F.array(kind)))
         .when(flags, F.array(F.array_join(F.array_sort(F.array_distinct(F.filter(F.split(F.array_join("values", ""), ""), lambda x: x != ""))), "")))
@@ -248,9 +250,9 @@ def normalise(constraints: DataFrame, keys: list[str]) -> DataFrame:
         F.when(numeric, "numeric_parameters_collapsed").when(boolean, "boolean_parameters_collapsed").when(severity, "severity_parameters_collapsed")
         .when(kinds, F.when(F.col("bad_mask") > 0, "skipped_shapes").when(F.col("mask") == 7, "unrestricted_shapes").otherwise("collapsed_shapes"))
         .when(merged, "list_parameters_merged")
-        .when(conjoined, F.when(P == "pattern", "pattern_parameters_conjoined").when(P == "datatype", "datatype_parameters_conjoined").otherwise("qualified_shapes_conjoined"))
+        .when(conjoined, F.when(P() == "pattern", "pattern_parameters_conjoined").when(P() == "datatype", "datatype_parameters_conjoined").otherwise("qualified_shapes_conjoined"))
     )
-    members = F.when(lists > 0, F.when(P == "ignoredProperties", F.array_sort(F.array_distinct(F.flatten("lists")))).otherwise(common))
+    members = F.when(lists > 0, F.when(P() == "ignoredProperties", F.array_sort(F.array_distinct(F.flatten("lists")))).otherwise(common))
     removed = F.when(kinds & (F.col("bad_mask") == 0), F.col("n")).when(kinds, F.lit(0)).when(merged, lists - 1).when(outcome.isNotNull(), F.col("n") - 1)
     return g.select(*keys, "predicate", F.when(lists == 0, one).alias("values"), members.alias("members"), conjoined.alias("conjoined"), outcome.alias("outcome"), removed.cast("bigint").alias("removed"))
 
