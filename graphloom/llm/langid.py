@@ -22,7 +22,7 @@ from graphloom.llm._shared import frames
 #: Buckets of hashed n-grams, a power of two.
 BUCKETS = 8192
 #: Texts that the centroids are fitted on, for all languages together; each language gets an equal share.
-FIT_ROWS = 3000
+FIT_ROWS = 1600
 _GAP = re.compile(r"[\W\d_]+")
 _STEP = 1 << 20
 
@@ -106,9 +106,9 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, r.vector))  # the same centroids for any order of rows
-    raw = np.stack([np.frombuffer(r.vector, "<f4") for r in got]).astype(np.float64)
+    raw = np.stack([np.frombuffer(r.vector, "<f4") for r in got])  # 32 KB a text: about 50 MB at most
     lang = np.array([r.lang for r in got])
-    idf = np.log((1 + len(raw)) / (1 + np.count_nonzero(raw, axis=0))) + 1
+    idf = (np.log((1 + len(raw)) / (1 + np.count_nonzero(raw, axis=0))) + 1).astype(np.float32)
     x = np.sqrt(raw) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     names = sorted(set(lang))

@@ -55,7 +55,7 @@ def test_held_out_accuracy(spark):
 
 def test_frames(spark):
     good = ["the sun is on the hill", "a day in the town", "we went to see the river", "many words of no harm"]
-    rows = [(i, good[i % 4] + (f" you {['moronic', 'moron', 'morons'][i % 3]} go" if i % 5 == 0 else ""), "z") for i in range(200)]
+    rows = [(i, good[i % 4] + (f" you {['moronic', 'moron', 'morons'][i % 3]} go" if i % 5 == 0 else f" you {['walk', 'run', 'sit'][i % 3]} go"), "z") for i in range(200)]
     rows += [(500, None, "n"), (501, "", "n"), (None, "such a MORON!", "n"), (502, "un moronico", "n"), (3, rows[3][1], "again")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic string")
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(200)] + [(3, 0, None), (None, 0, 1), (900, 0, 1)], "doc_id bigint, quality int, toxic int")
