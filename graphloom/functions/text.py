@@ -37,13 +37,9 @@ def normalise(x: Column | str) -> Column:
 
 
 def stem(t: Column) -> Column:
-    """R03. Irregular forms, else the first of the suffixes that leaves more than three letters goes."""
-    out = F.when(F.lit(False), t)
-    for word, base in IRREGULAR.items():
-        out = out.when(t == word, F.lit(base))
-    for s in SUFFIXES:
-        out = out.when((F.length(t) > len(s) + 3) & t.endswith(s), F.substring(t, F.lit(1), F.length(t) - len(s)))
-    return out.otherwise(t)
+    """R03. Irregular forms, else the longest of the suffixes that leaves over three letters goes."""
+    irregular = F.create_map(*[F.lit(x) for pair in IRREGULAR.items() for x in pair])
+    return F.coalesce(F.try_element_at(irregular, t), F.regexp_replace(t, f"^(.{{4,}}?)(?:{'|'.join(SUFFIXES)})$", "$1"))
 
 
 def tokens(x: Column | str, keep_stopwords: bool = False) -> Column:
