@@ -12,7 +12,14 @@ from graphloom.llm import decontaminate, html, langid, lattice, ngram_lm, passag
 MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
+#: Rows in one batch between the JVM and Python, unless the session says otherwise: texts may be long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(_BATCH) == "10000":  # the default
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
