@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 #: Units and pairs of pieces that a worker remembers at most; then it starts afresh.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 codecs.register_error("graphloom-bytes", lambda e: ("�" * (e.end - e.start), e.end))
 

@@ -33,7 +33,7 @@ WINDOW = 6
 #: Windows of a document that the field is trained on at most: its first marked tokens.
 WINDOWS = 4
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-REMEMBER = 300_000
+REMEMBER = 100_000
 
 
 def features(word: str) -> tuple[str, ...]:
