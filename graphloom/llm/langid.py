@@ -80,7 +80,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     """Centroids from the rows where train holds and lang is not null; None if there is none with a letter.
 
     At most fit_rows texts are used, an equal share for each language, those with the least hashes of
-    their ids: a bounded sample of labelled rows. The ids are chosen without reading texts.
+    their ids: a bounded sample of labelled rows. The ids are chosen without reading texts. Document
+    frequencies are those of all rows with a letter.
     """
     rows = docs.where(train & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     languages = sorted(r.lang for r in rows.groupBy("lang").agg(F.count("*")).collect())
@@ -102,13 +103,26 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                 if has_letter(text):
                     yield pd.DataFrame({"lang": [lang], "vector": [counts(text).astype("<f4").tobytes()]})
 
-    got = rows.where(within).mapInPandas(run, "lang string, vector binary").limit(2 * fit_rows).collect()
+    def held_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, df = 0, np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for text in b["text"]:
+                if has_letter(text):
+                    n, df = n + 1, df + (counts(text) > 0)
+        yield pd.DataFrame({"n": [n], "df": [df.tobytes()]})
+
+    # a chosen id that is repeated is one text, so that no language crowds out another
+    chosen = rows.where(within).groupBy("lang", "k").agg(F.min("text").alias("text"))
+    got = chosen.select("lang", "text").mapInPandas(run, "lang string, vector binary").collect()
     if not got:
         return None
     got.sort(key=lambda r: (r.lang, r.vector))  # the same centroids for any order of rows
     raw = np.stack([np.frombuffer(r.vector, "<f4") for r in got])  # 32 KB a text: about 50 MB at most
     lang = np.array([r.lang for r in got])
-    idf = (np.log((1 + len(raw)) / (1 + np.count_nonzero(raw, axis=0))) + 1).astype(np.float32)
+    n, df = 0, np.zeros(BUCKETS, np.int64)
+    for r in rows.select("text").mapInPandas(held_by, "n bigint, df binary").toLocalIterator():  # 64 KB a task
+        n, df = n + r.n, df + np.frombuffer(r.df, np.int64)
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     x = np.sqrt(raw) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     names = sorted(set(lang))

@@ -48,3 +48,13 @@ def test_frames(spark):
     assert got[None].lang_pred == "en" and got[103].lang_pred == "de" and got[104].rejected
     assert L.identify(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identify(docs.withColumn("lang", docs.lang.substr(1, 0)).replace("", None, "lang")).collect()} == {"und"}
+
+
+def test_frequencies_of_all_rows_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"word {'abcdefghij'[i % 10] * 3} and {'klmnop'[i % 6] * 4}", "en") for i in range(40)] + [(100, "der hund", "de")] * 50
+    model = L.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5), F.lit(True), fit_rows=4)
+    df = np.sum([L.counts(t) > 0 for _, t, _ in rows], 0)
+    assert np.allclose(model.idf, np.log((1 + len(rows)) / (1 + df)) + 1)
+    assert model.languages == ["de", "en"]
