@@ -126,11 +126,11 @@ class Matcher:
             return []
         w = words(text)
         line = " " + " ".join(w) + " "
-        near: dict[int, list[int]] = {}
+        near: dict[int, list[tuple[int, int]]] = {}
         for end, (size, found) in self.automaton.iter(line):
             at = end - size + 1  # of the space before the piece
             for k, offset in found:
-                near.setdefault(k, []).append(at << 16 | offset)
+                near.setdefault(k, []).append((at, offset))
         if not near:
             return []
         starts = np.cumsum([0, *(len(x) + 1 for x in w)])
@@ -138,7 +138,7 @@ class Matcher:
         for k, hits in near.items():
             item_id, item, errors, pattern = self.items[k]
             windows: list[list[int]] = []
-            for x in sorted({int(np.searchsorted(starts, h >> 16)) - (h & 0xFFFF) for h in hits}):
+            for x in sorted({int(np.searchsorted(starts, at)) - offset for at, offset in hits}):
                 a, b = max(0, x - errors), min(len(w), x + len(item) + errors)
                 if windows and a <= windows[-1][1]:
                     windows[-1][1] = max(b, windows[-1][1])

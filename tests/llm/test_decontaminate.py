@@ -65,3 +65,13 @@ def test_frames(spark, monkeypatch):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 3, 4, None]
     assert D.find_leaks(docs, bench.limit(0)).count() == D.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_pieces_far_into_a_long_item(monkeypatch):
+    monkeypatch.setattr(D, "find", lambda item, text: (0, 0, len(text)))  # its table grows with the square of an item
+    item = [f"w{i}" for i in range(70_000)]
+    text = list(item)
+    for a, z in D.pieces(item, D.budget(len(item))):
+        if z <= 65_600:
+            text[a] = "edited"
+    assert [i for i, *_ in D.Matcher([(1, " ".join(item))]).matches(" ".join(text))] == [1]
