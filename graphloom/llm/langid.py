@@ -111,6 +111,12 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
                     n, df = n + 1, df + (counts(text) > 0)
         yield pd.DataFrame({"n": [n], "df": [df.tobytes()]})
 
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, df = 0, np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            n, df = n + int(b["n"].sum()), df + sum(np.frombuffer(x, np.int64) for x in b["df"])
+        yield pd.DataFrame({"n": [n], "df": [df.tobytes()]})
+
     # a chosen id that is repeated is one text, so that no language crowds out another
     chosen = rows.where(within).groupBy("lang", "k").agg(F.min("text").alias("text"))
     got = chosen.select("lang", "text").mapInPandas(run, "lang string, vector binary").collect()
@@ -120,7 +126,8 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     raw = np.stack([np.frombuffer(r.vector, "<f4") for r in got])  # 32 KB a text: about 50 MB at most
     lang = np.array([r.lang for r in got])
     n, df = 0, np.zeros(BUCKETS, np.int64)
-    for r in rows.select("text").mapInPandas(held_by, "n bigint, df binary").toLocalIterator():  # 64 KB a task
+    parts = rows.select("text").mapInPandas(held_by, "n bigint, df binary").repartition(1)  # 64 KB a task
+    for r in parts.mapInPandas(total, "n bigint, df binary").collect():
         n, df = n + r.n, df + np.frombuffer(r.df, np.int64)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     x = np.sqrt(raw) * idf
