@@ -63,6 +63,54 @@ def frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return df.mapInArrow(go, schema)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: One odd factor for each place of a word; places repeat behind 65,536 bytes.
+_FACTORS = np.random.default_rng(20240229).integers(0, 1 << 63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of texts that are hashed at once; a longer text is hashed by itself.
+_PIECE = 1 << 18
+
+
+def column_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The words of a column of texts as 64-bit hashes: (first row, hashes, words of each row), for some rows at a time.
+
+    Words are what white space (space, tab to carriage return) parts, A-Z lower-cased. A hash is the sum
+    of a word's bytes, each times the factor of its place; nulls have no words.
+    """
+    column = column.cast(pa.large_string()).fill_null("")
+    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + _PIECE, "right")) - 1)
+        raw = _LOWER[data[off[a] : off[b]]]
+        row_at = off[a:b] - off[a]
+        blank = _SPACE[raw]
+        first = ~blank
+        inner = row_at[(row_at > 0) & (row_at < len(raw))]
+        follows = first.copy()  # a byte whose word began before it
+        follows[1:] &= first[:-1]
+        follows[:1] = False
+        follows[inner] = False
+        starts = np.flatnonzero(first & ~follows)
+        counts = np.diff(np.searchsorted(starts, np.concatenate([row_at, [len(raw)]])))
+        if len(starts):
+            size = np.diff(np.concatenate([starts, [len(raw)]]))
+            place = np.arange(starts[0], len(raw)) - np.repeat(starts, size)
+            value = (raw[starts[0] :].astype(np.uint64) + np.uint64(1)) * _FACTORS[place & 0xFFFF]
+            value[blank[starts[0] :]] = 0
+            h = np.add.reduceat(value, starts - starts[0])
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(28)
+        else:
+            h = np.zeros(0, np.uint64)
+        yield a, h, counts
+        a = b
+
+
 def groups(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
     """The runs of rows that agree in the integer columns names, of batches that are sorted by them."""
     held: list[pd.DataFrame] = []
