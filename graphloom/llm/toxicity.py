@@ -2,8 +2,8 @@
 
 Labels are of documents; tokens get theirs by weak supervision: a word, or a word's first letters,
 that is far commoner in toxic documents than in others marks the tokens of toxic documents that
-carry it. The field has two tags, weights for these features, a bias and transitions; it is trained
-on windows of labelled documents. Scoring runs forward-backward over a whole text. Tokens without a
+carry it. The field has two tags, weights for all these features, a bias and transitions; it is trained
+on all windows around marked tokens of the labelled documents it is fitted on. Scoring runs forward-backward over a whole text. Tokens without a
 feature all have the same potential, so that a run of them is one power of a 2 by 2 matrix, taken
 in closed form: exact, and a long text costs what its few marked tokens cost.
 """
@@ -20,22 +20,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import frames
+from graphloom.llm._shared import drop, frames, materialize
 
 #: Labelled documents of either class that the model is fitted on at most.
 FIT_ROWS = 5000
-#: Features that are kept at most, the strongest first.
-FEATURES = 4000
-#: A feature is kept if it is in so many of the fitted toxic documents at least, and so many times likelier there.
+#: A feature is kept if it is in so many of the fitted toxic documents at least, so many times likelier there, and not by chance.
 LEAST_TOXIC, LEAST_RATIO = 3, 8.0
 PREFIXES = (4, 5, 6)
+#: Tokens on either side of a marked one that a training window holds.
 WINDOW = 6
-#: Windows of a document that the field is trained on at most: its first marked tokens.
-WINDOWS = 4
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 REMEMBER = 100_000
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, each lower-cased by itself, so that they stand where the text has them."""
+    if not text:
+        return []
+    return WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
+
+
 def features(word: str) -> tuple[str, ...]:
     """The word, and its first letters where it is longer."""
     return ("=" + word, *(word[:n] for n in PREFIXES if len(word) > n))
@@ -114,19 +118,20 @@ class Field:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def _train(windows: np.ndarray, tags: np.ndarray, n_features: int, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def _train(windows: np.ndarray, tags: np.ndarray, times: np.ndarray, n_features: int, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
     """Penalised likelihood of windows (rows of positions of up to 4 feature numbers, -1: none) by gradient steps.
 
-    Returns the weights and (bias, stay, enter, leave).
+    times: how often each window occurs. Returns the weights and (bias, stay, enter, leave).
     """
     b, t, _ = windows.shape
+    total, each = times.sum(), times[:, None]
     on = windows >= 0
     at = np.where(on, windows, 0)
     w, g = np.zeros(n_features), np.array([-2.0, 0.0, 0.0, 0.0])
     moments = [np.zeros(n_features), np.zeros(n_features), np.zeros(4), np.zeros(4)]
     prev = np.concatenate([np.zeros((b, 1), int), tags[:, :-1]], 1)
-    seen = np.array([tags.sum(), (tags * prev).sum(), (tags * (1 - prev)).sum(), ((1 - tags) * prev)[:, 1:].sum()], float)
-    seen_w = np.bincount(at[on], np.broadcast_to(tags[..., None], on.shape)[on], n_features)
+    seen = np.array([(x * each).sum() for x in (tags, tags * prev, tags * (1 - prev), ((1 - tags) * prev)[:, 1:])], float)
+    seen_w = np.bincount(at[on], np.broadcast_to((tags * each)[..., None], on.shape)[on], n_features)
     for step in range(1, rounds + 1):
         emit = (w[at] * on).sum(2) + g[0]
         trans = np.array([[0.0, g[2]], [g[3], g[1]]])
@@ -143,13 +148,14 @@ def _train(windows: np.ndarray, tags: np.ndarray, n_features: int, rounds: int =
             p1[:, i] = np.exp(fwd[i][:, 1] + bwd[:, 1] - z)
             if i:
                 right = bwd + np.stack([np.zeros(b), emit[:, i]], 1)
-                pair += np.exp(fwd[i - 1][:, :, None] + trans + right[:, None] - z[:, None, None]).sum(0)
+                pair += (np.exp(fwd[i - 1][:, :, None] + trans + right[:, None] - z[:, None, None]) * each[:, :, None]).sum(0)
                 y = trans + right[:, None]
                 m = y.max(2)
                 bwd = m + np.log(np.exp(y - m[..., None]).sum(2))
+        p1 *= each
         expect = np.array([p1.sum(), pair[1, 1], pair[0, 1] + p1[:, 0].sum(), pair[1, 0]])
         expect_w = np.bincount(at[on], np.broadcast_to(p1[..., None], on.shape)[on], n_features)
-        for x, grad, m, v in ((w, (seen_w - expect_w) / b - 1e-4 * w, *moments[:2]), (g, (seen - expect) / b - 1e-4 * g, *moments[2:])):
+        for x, grad, m, v in ((w, (seen_w - expect_w) / total - 1e-4 * w, *moments[:2]), (g, (seen - expect) / total - 1e-4 * g, *moments[2:])):
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             x += 0.12 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -175,8 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A field from labelled rows that aren't held out; None if either class is missing.
 
     At most fit_rows documents of each class are used, those with the least hashes of their ids: a
-    bounded sample of labelled rows. A document with several labels is toxic if one says so; null
-    labels are ignored. The chosen ids are broadcast, so that no text is shuffled.
+    bounded sample of labelled rows, whole texts, written once. A document with several labels is toxic if
+    one says so; null labels are ignored; of a chosen id that is repeated the least text is used. The
+    chosen ids are broadcast, so that only their texts are shuffled.
     """
     one = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("bigint").alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     picked = [one.where(F.col("toxic") == t).orderBy(F.xxhash64("k"), "k").limit(fit_rows) for t in (1, 0)]
@@ -186,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(picked, "k bigint, toxic int"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "k")
+    rows = materialize(rows.groupBy("k", "toxic").agg(F.min("text").alias("text")).drop("k"), "fitted")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = (Counter(), Counter())
@@ -193,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 docs_seen[toxic] += 1
-                seen[toxic].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+                seen[toxic].update({f for w in set(words_of(text)) for f in features(w)})
         f = sorted(seen[1])  # a feature of no toxic document is never kept
         yield pd.DataFrame({"f": ["", *f], "n1": [docs_seen[1], *(seen[1][x] for x in f)], "n0": [docs_seen[0], *(0 for x in f)]})
         g = sorted(x for x in seen[0])
@@ -205,27 +213,34 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()
     n1, n0 = (next((r.n for r in total if r.toxic == t), 0) for t in (1, 0))
     if not n1 or not n0:
+        drop(rows)
         return None
     ratio = ((F.col("n1") + 0.1) / n1) / ((F.col("n0") + 0.1) / n0)
-    strong = table.where((F.col("f") != "") & (F.col("n1") >= LEAST_TOXIC) & (ratio >= LEAST_RATIO)).withColumn("gain", F.col("n1") * F.log(ratio))
-    kept = strong.orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
+    # twice the log of how much likelier the counts are with the feature's own share of toxic documents than with that of all
+    share = n1 / (n1 + n0)
+    plain = F.col("n1") * F.log(F.col("n1") / ((F.col("n1") + F.col("n0")) * share))
+    surplus = 2 * (plain + F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / ((F.col("n1") + F.col("n0")) * (1 - share)))).otherwise(0.0))
+    tried = table.where((F.col("f") != "") & (F.col("n1") >= LEAST_TOXIC)).withColumn("surplus", surplus).withColumn("ratio", ratio)
+    found = tried.select("f", "n1", "n0", "surplus", "ratio").where(F.col("ratio") >= LEAST_RATIO).orderBy("f").collect()  # of the fitted texts only
+    # of so many features that are tried, chance leaves less than one beyond this
+    chance = 2 * np.log(max(2, tried.count()))
+    kept = [r for r in found if r.surplus > chance]
     number = {r.f: i for i, r in enumerate(kept)}
     sure = {r.f for r in kept if (r.n1 + 0.1) / n1 >= 4 * LEAST_RATIO * (r.n0 + 0.1) / n0}
     if not number:
+        drop(rows)
         return None
 
     def window(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
-                words = WORD.findall(text.lower())
+                words = words_of(text)
                 found = [[number[f] for f in features(w) if f in number] for w in words]
                 marked = [i for i, f in enumerate(found) if f]
                 covered, out = -1, []
                 for i in marked or [len(words) // 2]:
                     if i <= covered:
                         continue
-                    if len(out) == WINDOWS:
-                        break
                     covered = i + WINDOW
                     row, tags = [], []
                     for j in range(i - WINDOW, i + WINDOW + 1):
@@ -236,21 +251,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 if out:
                     yield pd.DataFrame(out, columns=["row", "tags"])
 
-    got = rows.mapInPandas(window, "row array<int>, tags array<int>").limit(4 * WINDOWS * fit_rows).toPandas()
+    got = rows.mapInPandas(window, "row array<int>, tags array<int>").groupBy("row", "tags").agg(F.count("*").alias("times")).toPandas()
     width = 2 * WINDOW + 1
     windows, tags = np.stack(got["row"]).reshape(-1, width, 4).astype(np.int64), np.stack(got["tags"]).astype(np.int64)
     order = np.lexsort(np.concatenate([windows.reshape(len(windows), -1), tags], 1).T)  # the same field for any order of rows
-    w, (bias, stay, enter, leave) = _train(windows[order], tags[order], len(number))
+    times = got["times"].to_numpy(float)
+    w, (bias, stay, enter, leave) = _train(windows[order], tags[order], times[order], len(number))
     field = Field({f: float(w[i]) for f, i in number.items()}, float(bias), float(stay), float(enter), float(leave), (0.0, 0.0, 0.0))
     held = spark.sparkContext.broadcast(field)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for b in batches:
-            p = [m.marginals(WORD.findall(t.lower()))[1] for t in b["text"]]
+            p = [m.marginals(words_of(t))[1] for t in b["text"]]
             yield pd.DataFrame({"toxic": b["toxic"], "top": [float(x.max()) if len(x) else 0.0 for x in p], "mass": [float(np.log1p(x.sum())) for x in p]})
 
-    got = rows.mapInPandas(spread, "toxic int, top double, mass double").limit(4 * fit_rows).toPandas().sort_values(["toxic", "top", "mass"])
+    got = rows.mapInPandas(spread, "toxic int, top double, mass double").toPandas().sort_values(["toxic", "top", "mass"])
+    drop(rows)
     x = np.stack([np.ones(len(got)), got["top"], got["mass"]], 1)
     y = got["toxic"].to_numpy(float)
     field.score_weights = tuple(float(v) for v in _logistic(x, y))
@@ -264,19 +281,17 @@ def score(docs: DataFrame, field: Field | None, id_col: str = "doc_id", text_col
     Empty and null texts get the score of a text without any marked token; without a field every
     score is 0. One pass, no shuffle; other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field)  # at most FEATURES weights
+    held = docs.sparkSession.sparkContext.broadcast(field)  # features of at most 2 * fit_rows texts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
         for b in batches:
             scores, spans = [], []
             for text in b["text"]:
-                lower = (text or "").lower()
-                marked, p = m.marginals(WORD.findall(lower)) if m is not None else ([], np.zeros(0))
+                marked, p = m.marginals(words_of(text)) if m is not None else ([], np.zeros(0))
                 scores.append(m.score(p) if m is not None else 0.0)
                 hit = {i: float(x) for i, x in zip(marked, p, strict=True) if x >= at_least}
-                own = text if hit and len(lower) == len(text) else lower
-                spans.append([(x.start(), x.end(), hit[i]) for i, x in enumerate(WORD.finditer(own.lower())) if i in hit] if hit else [])
+                spans.append([(x.start(), x.end(), hit[i]) for i, x in enumerate(WORD.finditer(text)) if i in hit] if hit else [])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores, "predicted": [int(s >= 0.5) for s in scores], "spans": spans})
 
     schema = "doc_id bigint, score double, predicted int, spans array<struct<start:int,end:int,p:double>>"
@@ -296,6 +311,6 @@ def keep_clean(docs: DataFrame, field: Field | None, text_col: str = "text") ->
     @F.pandas_udf("boolean")
     def toxic(text: pd.Series) -> pd.Series:
         m = held.value
-        return pd.Series([m is not None and m.score(m.marginals(WORD.findall((t or "").lower()))[1]) >= 0.5 for t in text])
+        return pd.Series([m is not None and m.score(m.marginals(words_of(t))[1]) >= 0.5 for t in text])
 
     return docs.where(~toxic(F.col(text_col)))

@@ -53,6 +53,46 @@ def test_held_out_accuracy(spark):
     assert right / n > 0.95 and missed / toxic < 0.3
 
 
+def test_held_out_accuracy_on_held_out_rows_alone(spark):
+    """On the larger fixture: the smaller one has six toxic documents held out."""
+    import duckdb
+
+    from graphloom.llm.queries import op5_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    got = op5_toxicity(spark, sf).drop("spans").toPandas()
+    right, n, missed, toxic = duckdb.connect().execute(f"select count_if(predicted = toxic), count(*), count_if(toxic = 1 and predicted = 0), count_if(toxic = 1) from got join '{sf}/labels.parquet' l using (doc_id) where held_out").fetchone()
+    assert n > 500 and right / n > 0.97 and missed / toxic < 0.15
+
+
+def test_words_stand_where_the_text_has_them():
+    text = "İİİİ such a moron"
+    assert X.words_of(text) == [w.lower() for w in X.WORD.findall(text)] and X.words_of("Ab c’d e1f") == ["ab", "c’d", "e", "f"]
+    assert X.words_of(None) == X.words_of("") == []
+
+
+def test_training_reads_all_of_a_document(spark):
+    """The toxic word stands behind many benign words that are marked as well; its id is repeated."""
+    benign = " ".join(f"filler{k} word and so on and on and then some more of it" for k in range(40))
+    rows = [(i, f"{benign} {'you such a vilehead go' if i % 2 else 'we went to see the river'}") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:20] * 3, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    field = X.fit(docs, labels)
+    assert field.emission("vilehead") > 0 and field.weight.keys() >= {"=vilehead", "vile"}
+    assert all(r.predicted == r.doc_id % 2 for r in X.score(docs, field).collect())
+    one = X.score(spark.createDataFrame([(1, "İİİİ such a vilehead")], "doc_id bigint, text string"), field).first()
+    assert [("İİİİ such a vilehead")[s.start : s.end] for s in one.spans] == ["vilehead"]
+
+
+def test_repeated_windows_weigh_as_often_as_they_occur():
+    rng = np.random.default_rng(0)
+    rows, tags = rng.integers(-1, 5, (6, 13, 4)), rng.integers(0, 2, (6, 13))
+    times = np.array([1, 2, 3, 1, 1, 4])
+    a = X._train(rows, tags, times.astype(float), 5)
+    b = X._train(np.repeat(rows, times, 0), np.repeat(tags, times, 0), np.ones(times.sum()), 5)
+    assert a[0] == pytest.approx(b[0], abs=1e-6) and a[1] == pytest.approx(b[1], abs=1e-6)
+
+
 def test_frames(spark):
     good = ["the sun is on the hill", "a day in the town", "we went to see the river", "many words of no harm"]
     rows = [(i, good[i % 4] + (f" you {['moronic', 'moron', 'morons'][i % 3]} go" if i % 5 == 0 else f" you {['walk', 'run', 'sit'][i % 3]} go"), "z") for i in range(200)]
