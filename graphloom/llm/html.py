@@ -1,9 +1,14 @@
 """Main text of web pages by two passes of block rules.
 
-The markup is cut into blocks of text at block-level tags. The first pass decides each block by
-itself: link density, length, density of stop words, and the regions that the markup itself names
-(menus, footers, adverts, comments and so on). Short or middling blocks stay open; the second pass
-gives each the label of its nearest decided neighbours.
+The markup is cut into blocks of text at block-level tags, in one pass over the page whose work grows
+with its length only. The first pass decides a block by itself: link density, length and density of
+stop words, and the regions that the markup names as menus, footers, adverts, comments and so on. What
+it leaves open, short or middling blocks, the second pass gives the label of the nearest decided
+neighbours: first of those in the same element, then of those around.
+
+An element that the page names as its article is evidence, not the decision: prose outside it is left to
+its neighbours, and neighbours across its border are farther away. Where a page's prose has few of the
+listed stop words, its language isn't listed, and length and link density decide alone.
 """
 
 from __future__ import annotations
@@ -51,12 +56,20 @@ OUTSIDE = frozenset(
     "comment comments commentlist discussion disqus replies reply respond share sharing social follow tags tagcloud pagination pager search searchform form skip hidden "
     "contentinfo complementary dialog print".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+#: A quoted value of over 99,999 characters ends its tag at the first >, so that no tag is looked for in vain again and again.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']++|\"[^\"]{0,99999}+\"|'[^']{0,99999}+'){0,999})>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>", re.DOTALL)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _WORD = re.compile(r"\w+")
 _PARTS = re.compile(r"[a-z]+")
+_CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_RIGHTS = re.compile(r"\W{0,4}(?:©|\(c\)|copyright\b)(?:\W|\(c\)){0,4}\d{4}\b", re.IGNORECASE)
+#: Elements that hold one block's text; its siblings are those of the element around.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption summary pre address legend option".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: How much farther a neighbour across the border of the named article, or of a region outside it, is.
+BORDER = 3
 
 
 @dataclass
@@ -65,35 +78,77 @@ class Block:
     link_chars: int
     outside: bool
     inside: bool  # of an element that the page says is its article
+    heading: bool = False
+    item: bool = False  # of a list
+    parent: int = 0  # number of the element around
+    flat: bool = True  # that is the page's body
     label: str = ""
 
 
-def _outside(tag: str, attributes: str) -> bool:
-    if tag in CHROME:
+def _outside(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether the element is a region outside the article; a header inside of it is the article's own."""
+    if tag in CHROME and not (inside and tag == "header"):
         return True
     if not attributes:
         return False
     if _HIDDEN.search(attributes):
         return True
+    named = {x for m in _NAMED.finditer(attributes) for x in _PARTS.findall("".join(g for g in m.groups() if g).lower())}
     if tag in ("body", "html", "main", "article"):
-        named = [x for m in _NAMED.finditer(attributes) for x in _PARTS.findall("".join(g for g in m.groups() if g).lower())]
-        return tag == "article" and not {"comment", "comments", "reply", "teaser", "ad", "advert", "sponsored", "promo", "related"}.isdisjoint(named)
-    for m in _NAMED.finditer(attributes):
-        if not OUTSIDE.isdisjoint(_PARTS.findall("".join(g for g in m.groups() if g).lower())):
-            return True
-    return False
+        return tag == "article" and not named.isdisjoint({"comment", "comments", "reply", "teaser", "ad", "advert", "sponsored", "promo", "related"})
+    return not named.isdisjoint(OUTSIDE - {"header"} if inside else OUTSIDE)
+
+
+class _Open:
+    """The open elements, with how many of each name there are since the last table or body, and which are blocks."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, skipped, outside, inside, number
+        self.counts: list[dict[str, int]] = [{}]
+        self.blocks: list[int] = []  # places of block elements in the stack
+        self.links = self.made = 0
+
+    def push(self, tag: str, skipped: bool, outside: bool, inside: bool) -> None:
+        self.made += 1
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, skipped, outside, inside, self.made))
+        self.counts[-1][tag] = self.counts[-1].get(tag, 0) + 1
+        if tag in ("table", "body"):
+            self.counts.append({})
+        self.links += tag == "a"
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        if tag in ("table", "body"):
+            self.counts.pop()
+        self.counts[-1][tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        self.links -= tag == "a"
+        return tag
+
+    def has(self, tag: str) -> bool:
+        """Whether tag is open and an end tag may close it: not across a table or a body, unless it is one."""
+        if tag in ("html", "body"):
+            return any(c.get(tag) for c in self.counts)
+        own = self.counts[-1].get(tag, 0)
+        return bool(own or tag == "table" and len(self.counts) > 1 and self.counts[-2].get(tag))
+
+    def state(self) -> tuple[bool, bool, bool]:
+        return self.stack[-1][1:4] if self.stack else (False, False, False)
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, character references decoded and white space made one space."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, skipped, outside, inside
+    open_ = _Open()
+    stack, around = open_.stack, open_.blocks
     skipped = outside = inside = False
-    links = 0
     parts: list[str] = []
     link_parts: list[str] = []
     broke = False
-    at, size = 0, len(page)
+    at, size, last = 0, len(page), page.rfind(">")
 
     def flush() -> None:
         nonlocal broke
@@ -101,7 +156,10 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, len(" ".join("".join(link_parts).split())), outside, inside))
+                own = stack[around[-1]][0] if around else ""
+                up = around[-2] if own in LEAF and len(around) > 1 else around[-1] if around and own not in LEAF else -1
+                tag, number = (stack[up][0], stack[up][4]) if up >= 0 else ("body", 0)
+                out.append(Block(text, len(" ".join("".join(link_parts).split())), outside, inside, own in HEADING, own == "li", number, tag in ("body", "html")))
             parts.clear()
             link_parts.clear()
 
@@ -110,26 +168,26 @@ def blocks(page: str) -> list[Block]:
         if raw and not skipped:
             text = entities.unescape(raw) if "&" in raw else raw
             parts.append(text)
-            if links:
+            if open_.links:
                 link_parts.append(text)
             if broke and not text.isspace():
                 broke = False
 
     def close(tag: str) -> None:
-        nonlocal skipped, outside, inside, links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                if any(t in BLOCK for t, *_ in stack[k:]):
-                    flush()
-                links -= sum(t == "a" for t, *_ in stack[k:])
-                del stack[k:]
-                skipped, outside, inside = stack[-1][1:] if stack else (False, False, False)
-                return
-            if stack[k][0] in ("table", "body") and tag not in ("html", "body"):
-                return
+        nonlocal skipped, outside, inside
+        if not open_.has(tag):
+            return
+        flushed = False
+        while True:
+            if not flushed and stack[-1][0] in BLOCK:
+                flush()
+                flushed = True
+            if open_.pop() == tag:
+                break
+        skipped, outside, inside = open_.state()
 
     while at < size:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last or page.find("<!", at) >= 0 else None
         if m is None:
             add(page[at:])
             break
@@ -144,7 +202,7 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if tag == "br":
                 add(" ")
-            elif tag == "p" and not any(t == "p" for t, *_ in stack):
+            elif tag == "p" and not open_.has("p"):
                 flush()
             else:
                 close(tag)
@@ -162,72 +220,102 @@ def blocks(page: str) -> list[Block]:
             continue
         while stack and tag in CLOSES.get(stack[-1][0], ()):
             close(stack[-1][0])
-        if tag in BLOCK and stack and stack[-1][0] not in BLOCK:
-            # an inline element left open, as in <p><b>text<p>, ends with its paragraph
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in BLOCK:
-                    if stack[k][0] == "p" and tag in CLOSES["p"]:
-                        close("p")
-                    break
+        if tag in CLOSES["p"] and around and around[-1] < len(stack) - 1 and stack[around[-1]][0] == "p":
+            close("p")  # an inline element left open, as in <p><b>text<p>, ends with its paragraph
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else size
             continue
         if tag == "body":
-            while stack and any(t == "head" for t, *_ in stack):
+            while open_.has("head"):
                 close("head")
         skipped = skipped or tag in SKIP
-        outside = outside or _outside(tag, attributes)
+        outside = outside or _outside(tag, attributes, inside)
         inside = inside or tag in ("article", "main") or 'role="main"' in attributes or 'itemprop="articleBody"' in attributes
-        if tag == "a":
-            links += 1
         if not attributes.rstrip().endswith("/") or tag in BLOCK or tag in ("a", "span", "b", "i", "em", "strong"):
-            stack.append((tag, skipped, outside, inside))
+            open_.push(tag, skipped, outside, inside)
         else:
-            skipped, outside, inside = stack[-1][1:] if stack else (False, False, False)
+            skipped, outside, inside = open_.state()
     flush()
     return out
 
 
-def classify(found: list[Block]) -> None:
-    """Give each block the label good or bad."""
-    article = any(b.inside and not b.outside for b in found)
+def _decide(found: list[Block]) -> None:
+    """The first pass: the label of each block that its own text decides."""
+    length, stops, total, free = [], [], 0, 0
     for b in found:
-        n = len(b.text)
         words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        dense = b.link_chars / n
-        if b.outside or dense > LINK_DENSITY_MAX or "©" in b.text[:12] or b.text.lower().startswith("copyright"):
+        count = sum(w in STOP_WORDS for w in words)
+        length.append(len(b.text) + 2 * len(_CJK.findall(b.text)))
+        stops.append(count / max(1, len(words)))
+        if not b.outside and length[-1] >= LENGTH_LOW and b.link_chars <= LINK_DENSITY_MAX * len(b.text):
+            total, free = total + count, free + len(words)
+    listed = total >= STOPS_LOW * free  # the page's prose is in a language whose stop words are listed
+    for b, n, share in zip(found, length, stops, strict=True):
+        dense = b.link_chars / len(b.text)
+        if b.outside or dense > LINK_DENSITY_MAX or not b.inside and n < LENGTH_HIGH and _RIGHTS.match(b.text):
             b.label = "bad"
-        elif article and not b.inside:
-            b.label = "bad"  # the page names its article, and this isn't in it
         elif n < LENGTH_LOW:
-            b.label = "" if not b.link_chars else "bad" if dense > LINK_DENSITY_MAX / 2 else ""
-        elif stops >= STOPS_HIGH and n >= LENGTH_LOW or stops >= STOPS_LOW and n >= LENGTH_HIGH:
+            b.label = "bad" if dense > LINK_DENSITY_MAX / 2 else ""
+        elif not listed or share >= STOPS_HIGH or share >= STOPS_LOW and n >= LENGTH_HIGH:
             b.label = "good"
-        elif stops < STOPS_LOW / 3 and not b.inside and n < LENGTH_HIGH:
-            b.label = "bad"
-    decided = [(i, b.label) for i, b in enumerate(found) if b.label]
-    k = 0
+    sizes = [sum(len(b.text) for b in found if b.label == "good" and b.inside is x) for x in (False, True)]
+    if sizes[1] >= sizes[0]:
+        for b in found:
+            if b.label == "good" and not b.inside and sizes[1]:
+                b.label = ""  # the page names its article, and this isn't in it
+
+
+def classify(found: list[Block]) -> None:
+    """Give each block the label good or bad."""
+    _decide(found)
+    if not any(b.label == "good" for b in found):
+        # nothing is sure: what isn't bad is all the text there is
+        for b in found:
+            b.label = b.label or "good"
+        return
+    n = len(found)
+    before, after = [-1] * n, [n] * n  # nearest decided blocks; the page's ends count as bad
+    kin_before, kin_after = [-1] * n, [n] * n  # and those of the same element
+    near, seen = -1, {}
     for i, b in enumerate(found):
-        while k < len(decided) and decided[k][0] < i:
-            k += 1
+        before[i], kin_before[i] = near, seen.get(b.parent, -1)
+        if b.label:
+            near = seen[b.parent] = i
+    near, seen = n, {}
+    for i in range(n - 1, -1, -1):
+        b = found[i]
+        after[i], kin_after[i] = near, seen.get(b.parent, n)
         if b.label:
+            near = seen[b.parent] = i
+    label = lambda i: found[i].label if 0 <= i < n else "bad"
+    # a list with nothing decided in it may be a menu that stands beside another: no border parts these
+    across = lambda i, j: BORDER if 0 <= j < n and not (found[i].item and found[j].outside) and (found[j].outside or found[i].inside != found[j].inside) else 0
+    given = [b.label for b in found]
+    i = 0
+    while i < n:
+        z = i + 1
+        if given[i]:
+            i = z
             continue
-        after = decided[k] if k < len(decided) else None
-        before = decided[k - 1] if k else None
-        if b.inside:
-            # inside the named article only the article's own blocks are neighbours
-            b.label = "good"
-        elif before is None and after is None:
-            b.label = "good"
-        elif before is None or after is None:
-            b.label = (before or after)[1]
-        elif before[1] == after[1]:
-            b.label = before[1]
+        kin = not found[i].flat and (kin_before[i] >= 0 or kin_after[i] < n)
+        if not kin and not found[i].heading:
+            # open blocks of one element that has no decided block go together
+            while z < n and not given[z] and found[z].parent == found[i].parent and not found[i].flat:
+                z += 1
+        x, y = (kin_before[i], kin_after[i]) if kin else (before[i], after[i])
+        if kin and (x < 0 or y >= n):
+            given[i] = label(x if x >= 0 else y)
+        elif label(x) == label(y):
+            given[i:z] = [label(x)] * (z - i)
         else:
-            near, far = sorted((before, after), key=lambda x: abs(x[0] - i))
-            b.label = near[1] if abs(near[0] - i) < abs(far[0] - i) else "good"
+            left, right = i - x + across(i, x), y - z + 1 + across(i, y)
+            # a heading goes with what follows it; otherwise a tie keeps the text
+            own = label(y) if found[i].heading and right <= left + 1 else label(x) if left < right else label(y) if right < left else "good"
+            given[i:z] = [own] * (z - i)
+        i = z
+    for b, g in zip(found, given, strict=True):
+        b.label = g
 
 
 def main_text(page: str | None) -> str:

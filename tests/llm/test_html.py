@@ -45,6 +45,46 @@ def test_odd_markup():
     assert html.main_text("<p>" + "The words of it are many. " * 40_000 + "</p>").count("many") == 40_000
 
 
+def test_the_rules_and_not_a_tag_find_the_article(sf_dir):
+    import duckdb
+
+    pages = [h for (h,) in duckdb.sql(f"select html from '{sf_dir.replace('0.001', '0.01')}/pages.parquet'").fetchall()]
+    for tag in ("div", "section", 'div class="content"'):
+        other = [h.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>") for h in pages]
+        assert sum(html.main_text(a) == html.main_text(b) for a, b in zip(pages, other, strict=True)) >= 0.95 * len(pages)
+
+
+def test_evidence_against_and_for_a_block():
+    menu = "<ul><li>Home</li><li>News</li></ul>"
+    assert html.main_text(page(f"<nav><a href=1>x</a></nav><main>{menu}<h1>A title</h1><p>{LONG}</p><p>{ALSO}</p></main>")) == f"A title\n\n{LONG}\n\n{ALSO}"
+    assert html.main_text(page(f'<article><div class="post-header"><h1>A title</h1></div><p>{LONG}</p></article>')) == f"A title\n\n{LONG}"
+    assert html.main_text(page(f"<header><h1>The site</h1></header><article><header><h1>A title</h1></header><p>{LONG}</p></article>")) == f"A title\n\n{LONG}"
+    assert html.main_text(page(f"<div><p>{LONG}</p><p>Copyright law is what this is about, and it is hard.</p><p>{ALSO}</p></div><p>© 2020 The firm</p>")).endswith(ALSO)
+    assert "Copyright law" in html.main_text(page(f"<div><p>{LONG}</p><p>Copyright law is what this is about.</p><p>{ALSO}</p></div>"))
+    more = f'<article><p>{LONG}</p><p><a href="1">Read this as well, it is by the same author</a></p><p>{ALSO}</p></article><div><p>{ALSO} Twice.</p></div><footer>x</footer>'
+    assert html.main_text(page(more)) == f"{LONG}\n\n{ALSO}"
+
+
+def test_languages_without_listed_stop_words():
+    one = "Сегодня утром в городе открылась новая библиотека, где каждый может найти себе книгу по душе и остаться читать."
+    two = "Жители рассказали, что ждали этого события несколько лет, потому что старое здание давно нуждалось в ремонте."
+    assert html.main_text(page(f"<nav><a href=1>Дом</a></nav><p>{one}</p><p>{two}</p><footer>Контакты</footer>")) == f"{one}\n\n{two}"
+    han = "今天早上，城里开了一座新的图书馆，每个人都可以在那里找到自己喜欢的书，并且可以坐下来读。"
+    assert html.main_text(page(f"<div class='ad'>{han}</div><div><h1>图书馆</h1><p>{han}</p></div>")) == f"图书馆\n\n{han}"
+
+
+def test_work_grows_with_the_length():
+    import time
+
+    n = 100_000
+    pages = ["<span>" * n + "</p>" * n, "<span>" * n + "<p></p>" * n, "<table>" + "<span>" * n + "</p>" * n, "<a " * n, "<a b='" * n, "<p><b>x" * n, '<a title="' * n + ">", "<!--" * n]
+    for p in pages:
+        begin = time.perf_counter()
+        html.main_text(p)
+        assert time.perf_counter() - begin < 20  # quadratic work would take many minutes
+    assert html.main_text("<span>" * n + f"<p>{LONG}</p>") == LONG
+
+
 def test_frames(spark):
     rows = [(1, "u", page(f"<p>{LONG}</p>"), 5), (None, None, None, 5), (2, "v", "", 5), (1, "u", page(f"<p>{LONG}</p>"), 5)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
