@@ -240,8 +240,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _decide(found: list[Block]) -> None:
-    """The first pass: the label of each block that its own text decides."""
+def _decide(found: list[Block]) -> bool:
+    """The first pass: the label of each block that its own text decides. Whether the page names an article that has text."""
     length, stops, total, free = [], [], 0, 0
     for b in found:
         words = _WORD.findall(b.text.lower())
@@ -260,15 +260,16 @@ def _decide(found: list[Block]) -> None:
         elif not listed or share >= STOPS_HIGH or share >= STOPS_LOW and n >= LENGTH_HIGH:
             b.label = "good"
     sizes = [sum(len(b.text) for b in found if b.label == "good" and b.inside is x) for x in (False, True)]
-    if sizes[1] >= sizes[0]:
-        for b in found:
-            if b.label == "good" and not b.inside and sizes[1]:
-                b.label = ""  # the page names its article, and this isn't in it
+    named = sizes[1] > 0 and sizes[1] >= sizes[0]
+    for b in found:
+        if named and b.label == "good" and not b.inside:
+            b.label = ""  # prose beside the article: its neighbours decide
+    return named
 
 
 def classify(found: list[Block]) -> None:
     """Give each block the label good or bad."""
-    _decide(found)
+    named = _decide(found)
     if not any(b.label == "good" for b in found):
         # nothing is sure: what isn't bad is all the text there is
         for b in found:
@@ -289,8 +290,13 @@ def classify(found: list[Block]) -> None:
         if b.label:
             near = seen[b.parent] = i
     label = lambda i: found[i].label if 0 <= i < n else "bad"
-    # a list with nothing decided in it may be a menu that stands beside another: no border parts these
-    across = lambda i, j: BORDER if 0 <= j < n and not (found[i].item and found[j].outside) and (found[j].outside or found[i].inside != found[j].inside) else 0
+
+    def across(i: int, j: int) -> int:
+        """BORDER if a border parts the blocks. None parts regions outside from menus or from what stands beside the article."""
+        if not 0 <= j < n or found[j].outside and (found[i].item or named and not found[i].inside):
+            return 0
+        return BORDER if found[j].outside or found[i].inside != found[j].inside else 0
+
     given = [b.label for b in found]
     i = 0
     while i < n:
