@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,9 +35,14 @@ PROPERTY_TYPES = {OWL + "ObjectProperty": "ObjectProperty", OWL + "DatatypePrope
 
 
 def shared(df: DataFrame, tag: str) -> DataFrame:
-    """A written copy in the folder that driver and executors share; the lineage ends here."""
+    """A written copy in the folder that driver and executors share; the lineage ends here.
+
+    Where spark.checkpoint.dir is unset, a folder of our own is made in local mode; elsewhere this is an error.
+    """
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         import tempfile
 
@@ -53,15 +60,15 @@ def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
     return triples
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """S01, S56, V23. (root, node, depth) reachable from roots (root) over edges (src, dst), each at its least depth.
 
     A round joins the last round's nodes with the edges and keeps what is new; each round is written to
-    the shared folder. Cycles end by themselves, as nothing is new in them.
+    the shared folder. Cycles end by themselves, as nothing is new in them; max_depth, if given, ends it earlier.
     """
     seen = shared(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
     last, rounds = seen, [seen]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         before = rounds[0]
         for r in rounds[1:]:
@@ -70,7 +77,26 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 1000) -> DataFr
         if last.isEmpty():
             return before
         rounds.append(last)
-    raise RuntimeError(f"not closed after {max_depth} steps")
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """closure() of edges that hardly branch, as those of lists: each round doubles the depth that is reached.
+
+    A round joins what is reached with the jumps of the last length, and the jumps with themselves, so that
+    a list of n cells takes the logarithm of n rounds.
+    """
+    seen = shared(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("bigint").alias("depth")).distinct(), "walk")
+    jump, length, size = shared(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "jump"), 1, seen.count()
+    while True:
+        far = seen.join(jump, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"), (F.col("depth") + length).alias("depth"))
+        seen = shared(seen.unionByName(far).groupBy("root", "node").agg(F.min("depth").alias("depth")), "walk")
+        now = seen.count()
+        if now == size:
+            return seen
+        size, length = now, 2 * length
+        ahead = jump.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+        jump = shared(jump.join(ahead, "dst").select("src", F.col("end").alias("dst")).distinct(), "jump")
 
 
 def list_members(cells: DataFrame, heads: DataFrame) -> DataFrame:
@@ -79,7 +105,7 @@ def list_members(cells: DataFrame, heads: DataFrame) -> DataFrame:
     A list is valid if each of its cells has one first and one rest and it ends in nil.
     """
     edges = cells.select(F.col("cell").alias("src"), F.col("rest").alias("dst"))
-    walked = closure(edges, heads.select(F.col("head").alias("root")))
+    walked = walk(edges, heads.select(F.col("head").alias("root")))
     held = cells.groupBy("cell").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     rows = walked.join(held, F.col("node") == F.col("cell"), "left").groupBy("root").agg(
         F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("depth", "first")))).alias("m"),

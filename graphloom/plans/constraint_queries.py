@@ -114,21 +114,20 @@ def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merge_sides(constraints(spark, sf_dir), ["target_class", "path"])
 
 
-_ODD = "c2 AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN target_class || '/' || path ELSE path END AS path) FROM cons WHERE source = 'baseline' OR ord % 10 = 0)"
+_ODD = "c2 AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN target_class || '/' || path ELSE path END AS path) FROM cons)"
 
 
 @query("merge_priority", f"WITH {CONS}, {_ODD} SELECT source, predicate, count(*) AS n FROM c2 WHERE source = 'generated' OR path NOT IN (SELECT path FROM c2 WHERE source = 'generated') GROUP BY ALL")
 def priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S17, S18"""
-    c = constraints(spark, sf_dir).where("source = 'baseline' or ord % 10 = 0")
-    c = c.withColumn("path", F.when(F.col("ord") % 3 == 0, F.concat("target_class", F.lit("/"), "path")).otherwise(F.col("path")))
+    c = constraints(spark, sf_dir).withColumn("path", F.when(F.col("ord") % 3 == 0, F.concat("target_class", F.lit("/"), "path")).otherwise(F.col("path")))
     return C.merge_priority(c).groupBy("source", "predicate").agg(F.count("*").alias("n"))
 
 
-@query("merge_focused_evidence", f"WITH {CONS} SELECT CAST(r AS INT) AS rule_id, predicate, count(*) AS n FROM cons, (SELECT DISTINCT p_size AS r, p_brand AS b, p_type AS t FROM part WHERE p_size <= 5) x WHERE target_class = b AND path = t GROUP BY ALL")
+@query("merge_focused_evidence", f"WITH {CONS} SELECT CAST(r AS INT) AS rule_id, predicate, count(*) AS n FROM cons, (SELECT DISTINCT p_size AS r, p_brand AS b, p_type AS t FROM part) x WHERE target_class = b AND path = t GROUP BY ALL")
 def focused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each small size is a rule whose one part names a class and a path"""
-    p = table(spark, sf_dir, "part").where("p_size <= 5").select("p_size", "p_brand", "p_type").distinct()
+    """Each size is a rule whose parts name a class and a path"""
+    p = table(spark, sf_dir, "part").select("p_size", "p_brand", "p_type").distinct()
     one = F.explode(F.array(F.struct(F.lit("path").alias("role"), F.col("p_type").alias("iri")), F.struct(F.lit("focus").alias("role"), F.col("p_brand").alias("iri"))))
     pair = p.select(F.concat_ws("/", F.col("p_size").cast("string"), "p_brand", "p_type").alias("rule_id"), one.alias("r")).select("rule_id", "r.*")
     out = C.focused(constraints(spark, sf_dir), pair)

@@ -11,7 +11,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import text
@@ -20,23 +20,51 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 TRIPLE = "doc_id string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
 _LINE = r"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:[^\s.]+|\"(?:[^\"\\]|\\.)*\")(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?\s*(?:<[^>]*>\s*)?\.\s*(?:#.*)?$"
-_UNSCALED = [("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ('\\"', '"')]
+#: The pieces of an escaped text: an escape, or what stands between two.
+_PIECES = r"\\\\u[0-9A-Fa-f]{4}|\\\\U[0-9A-Fa-f]{8}|\\\\.|[^\\\\]+"
+_BLANK_LINE = r"^\s*(?:#.*)?$"
 
 
 class RdfError(ValueError):
     """A document that isn't RDF, with what the parser said."""
 
 
-def from_ntriples(lines: DataFrame, line_col: str = "value", doc_col: str = "doc_id") -> DataFrame:
-    """G02. N-Triples and N-Quads lines as triples, without Python; lines that hold no triple are left out."""
+def unescaped(c: Column) -> Column:
+    """A text of N-Triples with its escapes decoded, each once, from left to right."""
+    piece = lambda x: (
+        F.when(x.rlike(r"^\\u.{4}$"), F.decode(F.unhex(F.substring(x, 3, 4)), "UTF-16BE"))
+        .when(x.rlike(r"^\\U.{8}$"), F.decode(F.unhex(F.substring(x, 3, 8)), "UTF-32"))
+        .when(x == "\\t", "\t")
+        .when(x == "\\n", "\n")
+        .when(x == "\\r", "\r")
+        .when(x == "\\b", "\b")
+        .when(x == "\\f", "\f")
+        .when(x.startswith("\\"), F.substring(x, 2, 1))
+        .otherwise(x)
+    )
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(c, F.lit(_PIECES.replace("\\\\", "\\")), F.lit(0)), piece), "")).otherwise(c)
+
+
+def bad_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """The lines that are neither a triple nor blank nor a comment."""
+    return lines.where(F.col(line_col).isNotNull() & ~F.col(line_col).rlike(_LINE) & ~F.col(line_col).rlike(_BLANK_LINE))
+
+
+def from_ntriples(lines: DataFrame, line_col: str = "value", doc_col: str = "doc_id", skip_bad: bool = False) -> DataFrame:
+    """G02. N-Triples and N-Quads lines as triples, without Python.
+
+    Null and blank lines and comments hold none. Any other line that isn't a triple fails the query, or is
+    left out with skip_bad; bad_lines() gives these.
+    """
     part = lambda i: F.regexp_extract(line_col, _LINE, i)
-    rows = lines.where(F.col(line_col).rlike(_LINE)).select(F.col(doc_col).cast("string").alias("doc_id"), *[part(i).alias(c) for i, c in enumerate(("rs", "rp", "ro", "lang", "dt"), 1)])
+    good = F.col(line_col).rlike(_LINE)
+    if not skip_bad:
+        wrong = F.raise_error(F.concat(F.lit("not a triple: "), F.col(line_col))).cast("boolean")
+        good = F.when(good, True).when(F.col(line_col).isNull() | F.col(line_col).rlike(_BLANK_LINE), False).otherwise(wrong)
+    rows = lines.where(good).select(F.col(doc_col).cast("string").alias("doc_id"), *[part(i).alias(c) for i, c in enumerate(("rs", "rp", "ro", "lang", "dt"), 1)])
     kind = lambda c: F.when(F.col(c).startswith("<"), "iri").when(F.col(c).startswith("_:"), "bnode").otherwise("literal")
-    body = F.expr("substring(ro, 2, length(ro) - 2)")
-    for a, b in _UNSCALED:
-        body = F.replace(body, F.lit(a), F.lit(b))
-    body = F.replace(body, F.lit("\\\\"), F.lit("\\"))
-    node = lambda c: F.when(F.col(c).startswith("<"), F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.concat("doc_id", F.lit(":"), F.expr(f"substring({c}, 3)")))
+    body = unescaped(F.expr("substring(ro, 2, length(ro) - 2)"))
+    node = lambda c: F.when(F.col(c).startswith("<"), unescaped(F.expr(f"substring({c}, 2, length({c}) - 2)"))).otherwise(F.concat("doc_id", F.lit(":"), F.expr(f"substring({c}, 3)")))
     literal = kind("ro") == "literal"
     return rows.select(
         "doc_id",
@@ -51,17 +79,21 @@ def from_ntriples(lines: DataFrame, line_col: str = "value", doc_col: str = "doc
 
 
 def to_ntriples(triples: DataFrame) -> DataFrame:
-    """S77. (doc_id, line) of triples, in canonical form; sort them for a canonical document."""
+    """S77. (doc_id, line) of triples, in canonical form; sort them for a canonical document.
+
+    A blank node whose name isn't plain letters and digits is written as z0 and its bytes in hexadecimal, as is
+    one that begins with z0, so that different nodes stay different.
+    """
     esc = F.replace(text("o"), F.lit("\\"), F.lit("\\\\"))
     for a, b in [("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"')]:
         esc = F.replace(esc, F.lit(a), F.lit(b))
-    node = lambda c, k: F.when(F.col(k) == "bnode", F.concat(F.lit("_:"), F.regexp_replace(c, "[^A-Za-z0-9]", "x"))).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+    node = lambda c, k: F.when(F.col(k) == "bnode", F.concat(F.lit("_:"), F.when(F.col(c).rlike("^(?!z0)[A-Za-z0-9]+$"), F.col(c)).otherwise(F.concat(F.lit("z0"), F.lower(F.hex(F.encode(c, "UTF-8"))))))).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
     mark = F.when(text("o_lang") != "", F.concat(F.lit("@"), "o_lang")).when(~text("o_dt").isin("", XSD + "string"), F.concat(F.lit("^^<"), "o_dt", F.lit(">"))).otherwise("")
     obj = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), esc, F.lit('"'), mark)).otherwise(node("o", "o_kind"))
     return triples.select("doc_id", F.concat(node("s", "s_kind"), F.lit(" <"), "p", F.lit("> "), obj, F.lit(" .")).alias("line"))
 
 
-_TOKEN = re.compile(
+TOKEN = re.compile(
     r"""(?P<ws>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?''')|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
     |(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<dt>\^\^)|(?P<bnode>_:[\w.-]*[\w-])|(?P<num>[+-]?(?:\d+\.\d*[eE][+-]?\d+|\.?\d+[eE][+-]?\d+|\d*\.\d+|\d+))
     |(?P<name>(?:[^\W\d_][\w.-]*)?:(?:[\w%\\:-][\w%\\.:~/-]*(?<![.]))?)|(?P<word>[A-Za-z]+)|(?P<punct>[;,.\[\](){}=])""",
@@ -88,7 +120,7 @@ class Turtle:
         self.toks: list[tuple[str, str]] = []
         at = 0
         while at < len(content):
-            m = _TOKEN.match(content, at)
+            m = TOKEN.match(content, at)
             if m is None:
                 raise RdfError(f"unexpected {content[at : at + 20]!r}")
             if m.lastgroup != "ws":

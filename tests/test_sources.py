@@ -92,3 +92,30 @@ def test_profiles_and_payloads(spark):
 
     assert d.select(rules.baseline_payload(F.col("m"), "merge")).first()[0] == ""
     assert d.select(rules.baseline_payload(F.col("m"))).first()[0] == "c"
+
+
+def test_escapes_and_blank_nodes_survive(spark):
+    texts = ["back\\nslash", "new\nline", "tab\tquote\"", "\\", "\\\\n", "caf\u00e9 \U0001f600", "\\u00e9 as it stands", ""]
+    nodes = ["x-1", "x_1", "x1", "z0", "z01", "d:1", "\u00e9"]
+    rows = [("d", n, "bnode", "urn:p", t, "literal", rdf.XSD + "string", None) for n, t in zip(nodes + ["x1"], texts, strict=True)]
+    lines = rdf.to_ntriples(spark.createDataFrame(rows, rdf.TRIPLE)).withColumnRenamed("line", "value")
+    back = rdf.from_ntriples(lines).collect()
+    assert sorted(r.o for r in back) == sorted(texts) and len({r.s for r in back}) == len(nodes)
+    given = ['<urn:s> <urn:p> "caf\\u00e9 \\U0001F600 \\\\u00e9 \\t." .', "  ", "# no triple", None, "<urn:\\u00e9> <urn:p> <urn:o> . # yes"]
+    df = spark.createDataFrame([("d", v) for v in given], "doc_id string, value string")
+    assert sorted((r.s, r.o) for r in rdf.from_ntriples(df).collect()) == [("urn:s", "caf\u00e9 \U0001f600 \\u00e9 \t."), ("urn:\u00e9", "urn:o")]
+    bad = spark.createDataFrame([("d", "<urn:s> <urn:p> .")], "doc_id string, value string")
+    assert rdf.bad_lines(bad).count() == 1 and rdf.bad_lines(df).count() == 0 and rdf.from_ntriples(bad, skip_bad=True).count() == 0
+    with pytest.raises(Exception, match="not a triple"):
+        rdf.from_ntriples(bad).collect()
+
+
+def test_long_lists(spark):
+    from graphloom.operators import graph as G
+
+    n = 3000
+    cells = spark.createDataFrame([(f"c{i}", str(i), f"c{i + 1}" if i + 1 < n else G.RDF + "nil") for i in range(n)] + [("r0", "a", "r1"), ("r1", "b", "r0"), ("o", "x", "gone")], "cell string, first string, rest string")
+    heads = spark.createDataFrame([("c0",), ("c2990",), ("r0",), ("o",), (G.RDF + "nil",)], "head string")
+    got = {r["head"]: (r.members, r.valid) for r in G.list_members(cells, heads).collect()}
+    assert got["c0"] == ([str(i) for i in range(n)], True) and got["c2990"] == ([str(i) for i in range(2990, n)], True)
+    assert not got["r0"][1] and not got["o"][1] and got[G.RDF + "nil"] == ([], True)
