@@ -17,9 +17,12 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
 
-    A folder of our own is made only in local mode, where driver and executors are one machine.
+    A folder of our own is made only in local mode, where driver and executors are one machine; elsewhere
+    an unset folder is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         import tempfile
 

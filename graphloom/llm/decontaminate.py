@@ -194,6 +194,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that hold no benchmark passage, with all their columns; ids that are null stay."""
-    leaks = find_leaks(docs, benchmark, id_col, **options).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.col(id_col).cast("bigint") == F.col("__leak"), "left_anti")
+    """The rows of docs whose text holds no benchmark passage, with all their columns.
+
+    Each row is judged by its own text (told by its hash), whatever its id: a null or repeated id neither
+    keeps a leaking row nor takes a clean one. Null and empty texts stay.
+    """
+    text = F.col(options.get("text_col", "text"))
+    own = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).where("text is not null")
+    leaks = find_leaks(own, benchmark, **{k: v for k, v in options.items() if k != "text_col"}).select(F.col("doc_id").alias("__leak")).distinct()
+    return docs.join(leaks, F.xxhash64(text) == F.col("__leak"), "left_anti")

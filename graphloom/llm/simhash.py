@@ -179,3 +179,38 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = member.join(named, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, budget: int = 4) -> DataFrame:
+    """One row of docs for each group of near copies, with all its columns: that with the smallest id.
+
+    Groups are those of simhash_components. A row is told by its id and its text's hash: of rows that repeat
+    an id with other texts only the copies go, and of rows equal in both one stays, whichever. Null ids come
+    after all others, so that a row with one stays only where its group has no id; of several rows with the
+    least id, or with null ids alone, that with the least hash stays. Null and empty texts and texts without
+    words are one group. An empty table gives no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fp = np.array([fingerprint(t, words_per_shingle) for t in b["text"]], np.uint64).view(np.int64)
+            yield pd.DataFrame({"k": b["k"], "h": b["h"], "fp": fp})
+
+    key = [F.col(id_col).cast("bigint").alias("k"), F.xxhash64(text_col).alias("h")]
+    fps = materialize(frames(docs.select(*key, F.col(text_col).alias("text")), run, "k bigint, h bigint, fp bigint"), "fingerprints")
+    nodes = materialize(fps.select("fp").distinct(), "nodes")
+    parts = connected_components(near_links(nodes, budget)).withColumnRenamed("node", "fp")
+    order = F.struct(F.col("k").isNull().alias("last"), F.col("k"), F.col("h"))
+    of_fp = fps.groupBy("fp").agg(F.min(order).alias("least")).join(parts, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    of_root = of_fp.groupBy("root").agg(F.min("least").alias("least"))
+    stays = of_fp.select("fp", "root").join(of_root, "root").select("fp", F.col("least.k").alias("stay_k"), F.col("least.h").alias("stay_h"))
+    rows = fps.groupBy("fp", "k", "h").agg(F.count("*").alias("n")).join(stays, "fp")
+    rows = materialize(rows.withColumn("stays", F.col("k").eqNullSafe(F.col("stay_k")) & (F.col("h") == F.col("stay_h"))).select("k", "h", "n", "stays"), "copies")
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__k")) & (F.xxhash64(text_col) == F.col("__h"))
+    keys = lambda of: rows.where(of).select(F.col("k").alias("__k"), F.col("h").alias("__h"))
+    kept = docs.join(keys("not stays"), same, "left_anti")
+    if rows.where("stays and n > 1").isEmpty():
+        return kept
+    again = keys("stays and n > 1")
+    one = kept.join(again, same).dropDuplicates(["__k", "__h"]).select(docs.columns)
+    return kept.join(again, same, "left_anti").unionByName(one)
