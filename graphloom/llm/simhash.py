@@ -5,6 +5,10 @@ node. Five tries over the nodes are rooted at one of five bit blocks each: finge
 bits agree on a block at least, so every linked pair stands below one root of one trie. Below it two
 trie nodes are walked together, the differing bits so far add up, and a pair of nodes over the error
 budget is left. What a root finds is kept as a spanning forest, never as all pairs of a group.
+
+Near copies by the similarity of their shingles (without_near_copies) differ in far more bits than blocks can
+bear. Their sketches have 256 bits, many tries are rooted at bits drawn at random, and the shingles of each
+link of the forests are compared.
 """
 
 from __future__ import annotations
@@ -16,35 +20,59 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm._shared import connected_components, frames, groups, materialize
+from graphloom.llm._shared import connected_components, drop, frames, groups, materialize
 
 SEED = 42
 #: Pairs of trie nodes with no more pairs of fingerprints than this are compared at once.
 LEAF = 4096
 #: A root's fingerprints are split into parts of about this many; each pair of parts is a task's share.
 PART = 100_000
+#: Words of a wide sketch, the tries that it is rooted in, the bits of a root, and the budget of differing bits.
+#: At a similarity of 0.8 two sketches differ in about 39 of 256 bits, with a deviation of 6.
+WIDE, ROOTS, ROOT_BITS, WIDE_BUDGET = 4, 64, 20, 50
+#: A root with no more nodes than this is compared without a trie.
+SMALL = 64
 
 
-def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
-    """The unsigned 64-bit fingerprint of a text; zero if it has no word."""
+def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
+    """XXH64 of each run of words, repeats included; of the whole sequence if it is shorter; none without a word."""
     import xxhash
 
     words = text.encode().lower().split() if text else []  # bytes: lower-cases A-Z, splits at \x20 \x09-\x0D
-    if not words:
-        return 0
     n = words_per_shingle
     digest = xxhash.xxh64_intdigest
     if len(words) < n:
-        h = np.array([digest(b" ".join(words), SEED)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)), np.uint64, len(words) - n + 1)
-    ones = np.zeros(64, np.int64)
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)), np.uint64, len(words) - n + 1)
+
+
+def _majority(h: np.ndarray) -> np.ndarray:
+    """Of hashes in rows of 64-bit words, the words of the bits that over half of the rows have."""
+    ones = np.zeros(h.shape[1] * 64, np.int64)
     for at in range(0, len(h), 65_536):
-        ones += np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+        bits = np.unpackbits(h[at : at + 65_536].astype(">u8").view(np.uint8), axis=1)
+        for k in range(0, len(bits), 255):  # sums of bytes that can't overflow
+            ones += bits[k : k + 255].sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(h)).view(">u8").astype(np.uint64)
+
+
+def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
+    """The unsigned 64-bit fingerprint of a text; zero if it has no word."""
+    return int(_majority(shingles(text, words_per_shingle)[:, None])[0])
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """WIDE words of 64 bits, each the fingerprint of another hash of the distinct shingles h."""
+    wide = np.empty((len(h), WIDE), np.uint64)
+    for k in range(WIDE):
+        x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        wide[:, k] = x ^ (x >> np.uint64(31))
+    return _majority(wide)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
@@ -181,30 +209,227 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(by_fp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, budget: int = 4) -> DataFrame:
+def wide_trie_join(keys: np.ndarray, left: np.ndarray, right: np.ndarray | None, budget: int) -> list[tuple[int, int]]:
+    """Links between left and right (right None: left with itself) that span all pairs of keys within budget bits.
+
+    keys: distinct rows of 64-bit words in lexical order; left and right index them in order. Two trie
+    nodes are walked together: the bits in which each is of one value, and the two differ, add up, and
+    a pair over budget is left; so is one whose rows are all linked. Near halves come before far ones.
+    """
+    label, links = np.arange(len(keys)), []
+    members: dict[int, list[int]] = {}
+
+    def join(x: int, y: int) -> None:  # the smaller class takes the larger one's label
+        one, two = members.pop(x, [x]), members.pop(y, [y])
+        if len(one) < len(two):
+            one, two, x = two, one, y
+        label[two] = x
+        one.extend(two)
+        members[x] = one
+
+    stack = [(left, left if right is None else right, right is None)]
+    while stack:
+        a, b, same = stack.pop()
+        if not len(a) or not len(b) or same and len(a) == 1:
+            continue
+        la, lb = label[a], label[b]
+        if (la == la[0]).all() and (lb == la[0]).all():
+            continue
+        if len(a) * len(b) <= LEAF:
+            d = np.bitwise_count(keys[a][:, None] ^ keys[b][None]).sum(2, dtype=np.int64)
+            i, j = np.nonzero((d <= budget) & (la[:, None] != lb[None]))
+            order = np.argsort(d[i, j], kind="stable")
+            i, j = a[i[order]], b[j[order]]
+            while len(i):  # the nearest pair that isn't linked yet
+                links.append((int(i[0]), int(j[0])))
+                join(int(label[i[0]]), int(label[j[0]]))
+                rest = label[i] != label[j]
+                i, j = i[rest], j[rest]
+            continue
+        x, y = keys[a[0]], keys[b[0]]
+        vary = np.bitwise_or.reduce(keys[a] ^ x) | np.bitwise_or.reduce(keys[b] ^ y)
+        if int(np.bitwise_count((x ^ y) & ~vary).sum()) > budget:
+            continue
+        word = int(np.flatnonzero(vary)[0])
+        bit = np.uint64(1 << (int(vary[word]).bit_length() - 1))
+        one_a, one_b = keys[a, word] & bit != 0, keys[b, word] & bit != 0
+        a0, a1, b0, b1 = a[~one_a], a[one_a], b[~one_b], b[one_b]
+        stack.append((a0, b1, False))
+        if not same:
+            stack.append((a1, b0, False))
+        stack.append((a0, b0, same))
+        stack.append((a1, b1, same))
+    return links
+
+
+def _small_links(run: np.ndarray, keys: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """As wide_trie_join, for many small runs of rows at once: nearest pairs first, a spanning forest of each run."""
+    p, q, d = [], [], []
+    lag = 1
+    while lag < len(run):
+        at = np.flatnonzero(run[lag:] == run[:-lag])
+        if not len(at):
+            break
+        far = np.bitwise_count(keys[at] ^ keys[at + lag]).sum(1, dtype=np.int64)
+        near = far <= budget
+        p.append(at[near])
+        q.append(at[near] + lag)
+        d.append(far[near])
+        lag += 1
+    if not p:
+        return []
+    p, q, d = np.concatenate(p), np.concatenate(q), np.concatenate(d)
+    order = np.argsort(d, kind="stable")
+    up: dict[int, int] = {}
+    links = []
+    for a, b in zip(p[order].tolist(), q[order].tolist(), strict=True):
+        x, y = a, b
+        while x in up:
+            x = up[x]
+        while y in up:
+            y = up[y]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            links.append((a, b))
+    return links
+
+
+_WORDS = [f"s{k}" for k in range(WIDE)]
+
+
+def similar_links(nodes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
+    """(u, v) bigint: candidate links between nodes (node, s0..): spanning forests of pairs within budget bits below ROOTS roots.
+
+    A root is ROOT_BITS bits of the sketch drawn at random. A root with many nodes is dealt out as pairs of
+    its parts, so that no task holds more than two parts of about PART nodes.
+    """
+    spark = nodes.sparkSession
+    rng = np.random.default_rng(20)
+    drawn = np.stack([rng.choice(64 * WIDE, ROOT_BITS, replace=False) for _ in range(ROOTS)])
+
+    def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for at in range(0, len(whole), 1024):
+                b = whole.iloc[at : at + 1024]
+                wide = b[_WORDS].to_numpy(np.int64)
+                bits = np.unpackbits(np.ascontiguousarray(wide, ">i8").view(np.uint8), axis=1)
+                for t in range(ROOTS):
+                    own = bits[:, drawn[t]].astype(np.int64) @ (1 << np.arange(ROOT_BITS)) | (t << ROOT_BITS)
+                    yield b.assign(root=own)[["root", "node", *_WORDS]]
+
+    schema = "root bigint, node bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)
+    rooted = frames(nodes.select("node", *_WORDS), root, schema)
+    hot = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > PART)
+    hot = materialize(hot.select("root", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "hot")
+    small = hot.count() <= 100_000  # 12 bytes a row
+    held = rooted.join(F.broadcast(hot) if small else hot, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j"))))
+    dealt = held.withColumn("part", part).withColumn("p", pair).select("root", "p.i", "p.j", "part", "node", *_WORDS)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    def large(g: pd.DataFrame) -> list[tuple[int, int]]:
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        raw = g[_WORDS].to_numpy(np.int64).view(np.uint64)
+        keys, first, of = np.unique(raw, axis=0, return_index=True, return_inverse=True)
+        part, node = g["part"].to_numpy(), g["node"].to_numpy(np.int64)
+        a = np.flatnonzero(part[first] == i)
+        found = wide_trie_join(keys, a, None if i == j else np.flatnonzero(part[first] == j), budget)
+        links = [(node[first[x]], node[first[y]]) for x, y in found]
+        return links + [(node[first[of[k]]], node[k]) for k in range(len(node)) if first[of[k]] != k]  # equal sketches of other texts
+
+    def some(g: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Links of whole roots."""
+        key = g[["root", "i", "j"]].to_numpy(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        size = np.diff(np.concatenate([starts, [len(g)]]))
+        run, of = np.repeat(np.arange(len(starts)), size), np.repeat(size, size)
+        whole = np.flatnonzero((of > 1) & (of <= SMALL) & (g["i"].to_numpy() == g["j"].to_numpy()))
+        node = g["node"].to_numpy(np.int64)
+        links = [(node[whole[a]], node[whole[b]]) for a, b in _small_links(run[whole], g[_WORDS].to_numpy(np.int64).view(np.uint64)[whole], budget)]
+        for k in np.flatnonzero((size > SMALL) | ((size > 1) & (key[starts, 1] != key[starts, 2]))).tolist():
+            links += large(g.iloc[starts[k] : starts[k] + size[k]])
+        if links:
+            u, v = np.array(links, np.int64).T
+            yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            key = b[["root", "i", "j"]].to_numpy(np.int64)
+            last = int(np.flatnonzero((key != key[-1]).any(1))[-1]) + 1 if (key != key[-1]).any() else 0
+            if last:  # the root that the batch ends in may go on
+                yield from some(pd.concat([*held, b.iloc[:last]], ignore_index=True))
+                held = []
+            elif held and tuple(held[-1][["root", "i", "j"]].iloc[-1]) != tuple(key[0]):
+                yield from some(pd.concat(held, ignore_index=True))
+                held = []
+            held.append(b.iloc[last:])
+        if held:
+            yield from some(pd.concat(held, ignore_index=True))
+
+    return frames(dealt, run, "u bigint, v bigint").distinct()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles, each sorted and distinct; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def _verified(links: DataFrame, texts: DataFrame, words_per_shingle: int, at_least: float) -> DataFrame:
+    """Those of links (u, v) whose texts (node, text) have a similarity of at_least or more."""
+    one = links.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    both = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            of = [np.unique(shingles(a, words_per_shingle)) for a in g["a"]], [np.unique(shingles(b, words_per_shingle)) for b in g["b"]]
+            yield g.loc[[similarity(a, b) >= at_least for a, b in zip(*of, strict=True)], ["u", "v"]]
+
+    return frames(both, run, "u bigint, v bigint")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, at_least: float = 0.8) -> DataFrame:
     """One row of docs for each group of near copies, with all its columns: that with the smallest id.
 
-    Groups are those of simhash_components. A row is told by its id and its text's hash: of rows that repeat
-    an id with other texts only the copies go, and of rows equal in both one stays, whichever. Null ids come
-    after all others, so that a row with one stays only where its group has no id; of several rows with the
-    least id, or with null ids alone, that with the least hash stays. Null and empty texts and texts without
-    words are one group. An empty table gives no rows.
+    Two texts are linked if the sets of their shingles have a Jaccard similarity of at_least or more; a group
+    is what links reach. Texts with the same shingles are one node. Candidates are those of similar_links,
+    made for 0.8 and more; each is verified on whole texts, so that no link is false. A row is told by its
+    id and its text's hash: of rows that repeat an id with other texts only the copies go, and of rows equal
+    in both one stays, whichever. Null ids come after all others, so that a row with one stays only where
+    its group has no id; of several rows with the least id, or with null ids alone, that with the least hash
+    stays. Null and empty texts and texts without words are one group. An empty table gives no rows.
     """
+    import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, words_per_shingle) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"k": b["k"], "h": b["h"], "fp": fp})
+            own = [np.unique(shingles(t, words_per_shingle)) for t in b["text"]]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in own], np.uint64).view(np.int64)
+            wide = np.array([sketch(h) for h in own], np.uint64).reshape(len(b), WIDE).view(np.int64)
+            yield pd.DataFrame({"k": b["k"], "h": b["h"], "node": node} | {w: wide[:, i] for i, w in enumerate(_WORDS)})
 
+    text_of = F.col(text_col).alias("text")
     key = [F.col(id_col).cast("bigint").alias("k"), F.xxhash64(text_col).alias("h")]
-    fps = materialize(frames(docs.select(*key, F.col(text_col).alias("text")), run, "k bigint, h bigint, fp bigint"), "fingerprints")
-    nodes = materialize(fps.select("fp").distinct(), "nodes")
-    parts = connected_components(near_links(nodes, budget)).withColumnRenamed("node", "fp")
+    schema = "k bigint, h bigint, node bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)
+    fps = materialize(frames(docs.select(*key, text_of), run, schema), "fingerprints")
+    nodes = materialize(fps.groupBy("node").agg(F.min("h").alias("h"), *(F.min(w).alias(w) for w in _WORDS)), "nodes")
+    links = materialize(similar_links(nodes), "candidates")
+    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    asked = nodes.select("node", "h").join(ends, "node")
+    texts = docs.select(F.xxhash64(text_col).alias("h"), text_of).join(asked, "h").groupBy("node").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "texts")
+    parts = connected_components(_verified(links, texts, words_per_shingle, at_least))
+    drop(texts)
     order = F.struct(F.col("k").isNull().alias("last"), F.col("k"), F.col("h"))
-    of_fp = fps.groupBy("fp").agg(F.min(order).alias("least")).join(parts, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    of_fp = fps.groupBy("node").agg(F.min(order).alias("least")).join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))
     of_root = of_fp.groupBy("root").agg(F.min("least").alias("least"))
-    stays = of_fp.select("fp", "root").join(of_root, "root").select("fp", F.col("least.k").alias("stay_k"), F.col("least.h").alias("stay_h"))
-    rows = fps.groupBy("fp", "k", "h").agg(F.count("*").alias("n")).join(stays, "fp")
+    stays = of_fp.select("node", "root").join(of_root, "root").select("node", F.col("least.k").alias("stay_k"), F.col("least.h").alias("stay_h"))
+    rows = fps.groupBy("node", "k", "h").agg(F.count("*").alias("n")).join(stays, "node")
     rows = materialize(rows.withColumn("stays", F.col("k").eqNullSafe(F.col("stay_k")) & (F.col("h") == F.col("stay_h"))).select("k", "h", "n", "stays"), "copies")
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__k")) & (F.xxhash64(text_col) == F.col("__h"))
     keys = lambda of: rows.where(of).select(F.col("k").alias("__k"), F.col("h").alias("__h"))

@@ -14,12 +14,12 @@ def test_stages(spark, sf_dir):
             assert docs.columns == columns
     clean, unique, cut, safe, tokens = kept
     texts = {r.doc_id: r.text for r in unique.collect()}
-    # near copies: of each group by the plain distance of fingerprints the smallest id is left
-    before = {r.doc_id: simhash.fingerprint(r.text, 5) for r in clean.collect()}
+    # near copies: of each group by the plain similarity of five-word shingles the smallest id is left
+    before = {r.doc_id: set(simhash.shingles(r.text, 5).tolist()) for r in clean.collect()}
     label = {i: i for i in before}
-    for i in before:
-        for j in before:
-            if i < j and (before[i] ^ before[j]).bit_count() <= 4 and label[i] != label[j]:
+    for i, x in before.items():
+        for j, y in before.items():
+            if i < j and label[i] != label[j] and len(x & y) >= 0.8 * len(x | y):
                 lo, hi = sorted((label[i], label[j]))
                 label = {k: lo if v == hi else v for k, v in label.items()}
     assert set(texts) == set(label.values())

@@ -77,3 +77,59 @@ def test_frames(spark, monkeypatch):
     want = [(i, f"{f:016x}", least.get(c)) for (i, *_), f, c in zip(rows, fps, label, strict=True)]
     assert sorted(map(str, got)) == sorted(str(type(got[0])(doc_id=a, fingerprint=b, component_id=c)) for a, b, c in want)
     assert simhash.simhash_components(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [4, 4096])
+def test_wide_trie_join_spans_every_link(leaf, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (20, 4), dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 4, 9), dtype=np.uint64), axis=2)
+    keys = np.unique(np.concatenate([base, base.repeat(10, 0) ^ flips]), axis=0)
+    d = np.bitwise_count(keys[:, None] ^ keys[None]).sum(2)
+    every = np.arange(len(keys))
+    for budget in (30, 50, 70):
+        links = simhash.wide_trie_join(keys, every, None, budget)
+        assert all(d[a, b] <= budget for a, b in links)
+        assert classes(len(keys), links) == classes(len(keys), np.argwhere(np.triu(d <= budget, 1)).tolist())
+        a, b = every[::2], every[1::2]
+        links = simhash.wide_trie_join(keys, a, b, budget)
+        assert classes(len(keys), links) == classes(len(keys), [(i, j) for i in a for j in b if d[i, j] <= budget])
+        run = np.repeat([1, 2, 3], [len(keys) // 3, 5, len(keys) - len(keys) // 3 - 5])
+        same = np.triu((d <= budget) & (run[:, None] == run[None]), 1)
+        assert classes(len(keys), simhash._small_links(run, keys, budget)) == classes(len(keys), np.argwhere(same).tolist())
+
+
+def jaccard(a, b, n=5):
+    a, b = ({tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("part", [100_000, 30])
+def test_near_copies_by_similarity(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "SMALL", 8)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for k in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            copy = list(base)
+            for _ in range(max(1, round(len(base) * rng.choice([0.005, 0.01, 0.015, 0.04, 0.1])))):
+                copy[rng.randrange(len(copy))] = "changed"
+            texts.append(" ".join(copy))
+    base = [rng.choice(words) for _ in range(500)]  # one large group, no two alike
+    for i in range(120):
+        texts.append(" ".join([*base[:i], f"here{i}", *base[i + 1 :]]))
+    texts += ["a b c", "A  b c", "one two", " ".join(["w"] * 900 + words[:40]), " ".join(["w"] * 900 + words[50:90])]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    left = {r.doc_id for r in simhash.without_near_copies(docs).collect()}
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8]
+    label = classes(len(texts), links)
+    assert set(label) <= left  # nothing goes without a link to a smaller id
+    many = set(range(len(texts))) - set(label)
+    assert len(many - left) >= 0.95 * len(many)
+    assert len(left - set(label)) <= 0.05 * len(many)
