@@ -68,7 +68,7 @@ def sketch(h: np.ndarray) -> np.ndarray:
     """WIDE words of 64 bits, each the fingerprint of another hash of the distinct shingles h."""
     wide = np.empty((len(h), WIDE), np.uint64)
     for k in range(WIDE):
-        x = h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)
+        x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         wide[:, k] = x ^ (x >> np.uint64(31))
