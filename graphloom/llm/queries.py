@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, html, langid, lattice, ngram_lm, passages, sentencepiece, simhash, toxicity, warc
+from graphloom.llm import decontaminate, html, langid, lattice, ngram_lm, passages, sentencepiece, simhash, suffixes, toxicity, warc
 
 #: The vocabulary file; a parameter of the encoder, never a part of this library.
 MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -63,6 +63,10 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.find_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_substring_dedup": op2_substring_dedup,
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 ORACLE_SQL = {
     "op8_warc": warc.ORACLE,
