@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import decontaminate, html, langid, lattice, ngram_lm, passages, sentencepiece, simhash, suffixes, toxicity, warc
+from graphloom.llm import codebooks, decontaminate, html, langid, lattice, ngram_lm, passages, sentencepiece, simhash, suffixes, toxicity, warc, whitening
 
 #: The vocabulary file; a parameter of the encoder, never a part of this library.
 MODEL_FILE = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -63,6 +63,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.find_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -78,8 +86,11 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_vector_codes": op12_vector_codes,
     "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 ORACLE_SQL = {
     "op8_warc": warc.ORACLE,
+    "op12_vector_codes": codebooks.ORACLE,
 }
