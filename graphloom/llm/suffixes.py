@@ -9,9 +9,9 @@ larger than the next; a new batch is scanned against every level for heads that
 about equal size merge, so that an entry is rewritten a logarithm of the batches' number of times.
 
 Suffixes with a repeated head are looked at in full. The windows that a suffix was sampled for are taken in
-groups of up to GROUP neighbouring starts, by the place of the suffix in them. What all windows of a group
+groups of up to SIZES[0] neighbouring starts, by the place of the suffix in them. What all windows of a group
 share (its core) must be repeated for any of them to be, and where the text of the whole group stands again,
-all are. Only groups between the two are taken apart into single windows. Texts are compared by 128-bit hashes
+all are. Only groups between the two are taken apart, into smaller groups and then into single windows. Texts are compared by 128-bit hashes
 that are counted map-side, so that a string of very many documents is one row of each task.
 """
 
@@ -20,11 +20,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm._shared import drop, materialize, shared_dir
@@ -32,8 +33,8 @@ from graphloom.llm.passages import _seed_filter
 
 #: Bytes of a string that must not repeat, bytes that suffixes are ordered by, bytes that decide on sampling.
 LENGTH, HEAD, GRAM = 400, 64, 16
-#: Neighbouring window starts that are judged at once.
-GROUP = 48
+#: Neighbouring window starts that are judged at once, first and then where that doesn't decide.
+SIZES = (48, 8, 1)
 #: Batches that find_repeats() deals documents into.
 BATCHES = 4
 #: A table of asks or spans of documents is broadcast up to so many bytes; a larger one is an ordinary join.
@@ -193,63 +194,76 @@ def _mask(slots: int) -> np.uint64:
     return np.uint64((slots << 32) - 1)
 
 
-_ENTRY = "y bigint, core binary, whole binary, n int, first int, last int, spans binary"
+_ENTRY = "y bigint, core binary, whole binary, n int, first int, last int, suffix int, spans binary"
+_ENTRY_SCHEMA = pa.schema([("y", pa.int64()), ("core", pa.binary()), ("whole", pa.binary()), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("suffix", pa.int32()), ("spans", pa.binary())])
 
 
-def _groups(docs: DataFrame, slots: int, known) -> DataFrame:
-    """_ENTRY of docs (y, text): groups of windows of suffixes whose head is known to repeat.
+def _described(ids: list, base: list, text: bytes | memoryview, p: np.ndarray, first: np.ndarray, last: np.ndarray, of: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """_ENTRY of the groups of size windows among those of suffixes p: starts that are size * g to size * g + size - 1 before p.
 
-    A row is one text of a group in one piece of a document, however often it stands there (n, and all its
-    window starts in spans, pairs of first and last); first and last are of one of them.
+    of is each suffix's document, as a place in ids and in base, which is added to its places in text. A row
+    is one text of a group, however often a document has it here (n, and all its starts in spans, pairs of
+    first and last); first, last and suffix are of one of them.
     """
-    schema = pa.schema([("y", pa.int64()), ("core", pa.binary()), ("whole", pa.binary()), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("spans", pa.binary())])
     digest = xxhash.xxh3_128_digest
+    low = (p - last) // size
+    times = (p - first) // size - low + 1
+    up = np.repeat(np.arange(len(p)), times)
+    g = np.arange(len(up)) - np.repeat(np.cumsum(times) - times, times) + low[up]
+    core = p[up] - size * g
+    a, z = np.maximum(first[up], core - size + 1), np.minimum(last[up], core)
+    held: dict[tuple[int, bytes], list] = {}
+    for r, x, y, k, c, q in zip(of[up].tolist(), a.tolist(), z.tolist(), g.tolist(), core.tolist(), p[up].tolist(), strict=True):
+        # the place of the suffix in its windows is a part of what is compared
+        whole = digest(b"%d %d " % (q - x, q - y) + text[x : y + LENGTH])
+        one = held.get((r, whole))
+        if one is None:
+            held[r, whole] = [whole if size == 1 else digest(b"%d " % k + text[c : c + LENGTH - size + 1]), x, y, q, [x, y]]
+        else:
+            one[4] += [x, y]
+    items = list(held.items())
+    for at in range(0, len(items), _ROWS):
+        part = [(ids[r], base[r], w, v) for (r, w), v in items[at : at + _ROWS]]
+        columns = (
+            [y for y, *_ in part], [v[0] for *_, v in part], [w for _, _, w, _ in part], [len(v[4]) // 2 for *_, v in part],
+            [v[1] + m for _, m, _, v in part], [v[2] + m for _, m, _, v in part], [v[3] + m for _, m, _, v in part],
+            [(np.array(v[4], np.int64) + m).astype("<i4").tobytes() for _, m, _, v in part],
+        )
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENTRY_SCHEMA, strict=True)], schema=_ENTRY_SCHEMA)
+
+
+def _groups(docs: DataFrame, size: int, slots: int, known) -> DataFrame:
+    """_ENTRY of docs (y, text): groups of windows of suffixes whose head is known to repeat."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            ids = b.column(0).to_pylist()
             for at, offset, raw, begin in column_bytes(b.column(1)):
                 p, first, last = sample(raw, begin)
                 if known is not None and len(p):
                     on = np.concatenate([known.value.levels(_head_keys(raw[p[x : x + _ROWS, None] + np.arange(HEAD)]) & _mask(slots)) > 0 for x in range(0, len(p), _ROWS)])
                     p, first, last = p[on], first[on], last[on]
-                if not len(p):
-                    continue
-                # the groups of a suffix: starts that are GROUP * g to GROUP * g + GROUP - 1 bytes before it
-                low, high = (p - last) // GROUP, (p - first) // GROUP
-                times = high - low + 1
-                of = np.repeat(np.arange(len(p)), times)
-                g = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + low[of]
-                a, z = np.maximum(first[of], p[of] - GROUP * g - GROUP + 1), np.minimum(last[of], p[of] - GROUP * g)
-                row, text = at + np.searchsorted(begin, p[of], "right") - 1, raw.tobytes()
-                core = p[of] - GROUP * g
-                held: dict[tuple[int, bytes], list] = {}
-                for r, x, y, k, c, q in zip(row.tolist(), a.tolist(), z.tolist(), g.tolist(), core.tolist(), p[of].tolist(), strict=True):
-                    # the place of the suffix in its windows is a part of what is compared
-                    whole = digest(b"%d %d " % (q - x, q - y) + text[x : y + LENGTH])
-                    one = held.get((r, whole))
-                    if one is None:
-                        held[r, whole] = [digest(b"%d " % k + text[c : c + LENGTH - GROUP + 1]), x, y, [x, y]]
-                    else:
-                        one[3] += [x, y]
-                shift = begin[np.searchsorted(begin, p, "right") - 1]
-                base = dict(zip((at + np.searchsorted(begin, p, "right") - 1).tolist(), (offset - shift).tolist(), strict=True))
-                items = list(held.items())
-                for x in range(0, len(items), _ROWS):
-                    part = items[x : x + _ROWS]
-                    move = [base[r] for (r, _), _ in part]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids[[r for (r, _), _ in part]]), pa.array([v[0] for _, v in part], pa.binary()), pa.array([w for (_, w), _ in part], pa.binary()), pa.array([len(v[3]) // 2 for _, v in part], pa.int32()),
-                            pa.array([v[1] + m for (_, v), m in zip(part, move, strict=True)], pa.int32()), pa.array([v[2] + m for (_, v), m in zip(part, move, strict=True)], pa.int32()),
-                            pa.array([(np.array(v[3], np.int64) + m).astype("<i4").tobytes() for (_, v), m in zip(part, move, strict=True)], pa.binary()),
-                        ],
-                        schema=schema,
-                    )
+                if len(p):
+                    yield from _described(ids[at : at + len(begin) - 1], (offset - begin[:-1]).tolist(), raw.tobytes(), p, first, last, np.searchsorted(begin, p, "right") - 1, size)
 
     return docs.select("y", "text").mapInArrow(scan, _ENTRY)
 
 
+def _parts(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """_ENTRY of the asked groups (y, held: first, last and suffix of each), taken apart into smaller ones."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for y, text, held in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                asks = np.frombuffer(held, "<i4").reshape(-1, 3).astype(np.int64)
+                for x in range(0, len(asks), _ROWS):
+                    first, last, p = asks[x : x + _ROWS].T
+                    yield from _described([y], [0], raw, p, first, last, np.zeros(len(p), np.int64), size)
+
+    return attached(docs, asked, "inner").select("y", "text", "held").mapInArrow(scan, _ENTRY)
+
+
 def attached(docs: DataFrame, packed: DataFrame, how: str) -> DataFrame:
     """docs (y, text) with what belongs to them, packed (y, held binary) and written: broadcast up to SENT_BYTES, else shuffled by y."""
     size = packed.agg(F.coalesce(F.sum(F.octet_length("held")), F.lit(0)) + 64 * F.count("*")).first()[0]
@@ -261,30 +275,6 @@ def _pack(spans: DataFrame) -> DataFrame:
     return spans.groupBy("y").agg(F.expr("cast(unhex(array_join(collect_list(hex(spans)), '')) as binary)").alias("held"))
 
 
-def _windows(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(window, y, start): the hash of each window of the asked spans (y, held)."""
-    schema = pa.schema([("window", pa.binary()), ("y", pa.int64()), ("start", pa.int32())])
-    digest = xxhash.xxh3_128_digest
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list] = ([], [], [])
-        for b in batches:
-            for y, text, held in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                raw = memoryview(text.as_buffer())
-                for first, last in np.frombuffer(held, "<i4").reshape(-1, 2).tolist():
-                    for s in range(first, last + 1):
-                        out[0].append(digest(raw[s : s + LENGTH]))
-                        out[1].append(y)
-                        out[2].append(s)
-                    if len(out[0]) >= _ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-                        out = ([], [], [])
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-    return attached(docs, asked, "inner").select("y", "text", "held").mapInArrow(scan, "window binary, y bigint, start int")
-
-
 def runs(spans: np.ndarray, size: int) -> np.ndarray:
     """The maximal runs (from, to exclusive) of bytes that windows cover, from spans (first, last start) in any order."""
     if not len(spans):
@@ -318,28 +308,31 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     finally:
         family.close()
     slots, known = _filter(spark, heads.distinct())
-    entries = materialize(_groups(docs, slots, known), "groups")
+    found, asked = [], None
+    for size in SIZES:
+        entries = materialize(_groups(docs, size, slots, known) if asked is None else _parts(docs, asked, size), "groups")
+        drop(asked)
+        texts = materialize(entries.groupBy("core", "whole").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("y", "first", "last", "suffix")]), "texts")
+        again = entries.select("y", "whole", "spans").join(texts.where("n > 1").select("whole"), "whole", "left_semi")
+        found.append(materialize(again.select("y", "spans"), "again"))
+        drop(entries)
+        if size > 1:
+            # cores that groups with different texts share: one group of each text is taken apart
+            open_ = texts.groupBy("core").agg(F.count("*").alias("texts")).where("texts > 1").select("core")
+            asked = materialize(_pack(texts.join(open_, "core", "left_semi").select("y", _ints("first", "last", "suffix").alias("spans"))), "asked")
+        drop(texts)
     if known is not None:
         known.unpersist()
-    texts = materialize(entries.groupBy("core", "whole").agg(F.sum("n").alias("n"), F.first("y").alias("y"), F.first("first").alias("first"), F.first("last").alias("last")), "texts")
-    again = entries.select("y", "whole", "spans").join(texts.where("n > 1").select("whole"), "whole", "left_semi").select("y", "spans")
-    # cores that groups with different texts share: one group of each text is taken apart
-    open_ = texts.groupBy("core").agg(F.count("*").alias("texts")).where("texts > 1").select("core")
-    asked = texts.join(open_, "core", "left_semi").select("y", _pair("first", "last").alias("spans"))
-    asked = materialize(_pack(asked), "asked")
-    windows = materialize(_windows(docs, asked), "windows")
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    single = windows.join(twice, "window", "left_semi").select("y", _pair("start", "start").alias("spans"))
-    out = materialize(_pack(again.unionByName(single)), "spans")
-    for x in (entries, texts, asked, windows):
+    out = materialize(_pack(reduce(DataFrame.unionByName, found)), "spans")
+    for x in found:
         drop(x)
     return out
 
 
-def _pair(a: str, z: str):
-    """Two ints as eight bytes, low bytes first."""
-    low_first = lambda c: F.expr(f"concat(substr(x, 7, 2), substr(x, 5, 2), substr(x, 3, 2), substr(x, 1, 2))".replace("x", f"lpad(hex({c}), 8, '0')"))
-    return F.unhex(F.concat(low_first(a), low_first(z)))
+def _ints(*names: str) -> Column:
+    """Ints as bytes, four of each, the low ones first."""
+    low_first = lambda c: F.expr("concat(substr(x, 7, 2), substr(x, 5, 2), substr(x, 3, 2), substr(x, 1, 2))".replace("x", f"lpad(hex({c}), 8, '0')"))
+    return F.unhex(F.concat(*[low_first(c) for c in names]))
 
 
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"
