@@ -275,16 +275,30 @@ def _pack(spans: DataFrame) -> DataFrame:
     return spans.groupBy("y").agg(F.expr("cast(unhex(array_join(collect_list(hex(spans)), '')) as binary)").alias("held"))
 
 
-def runs(spans: np.ndarray, size: int) -> np.ndarray:
-    """The maximal runs (from, to exclusive) of bytes that windows cover, from spans (first, last start) in any order."""
+def _joined(packed: DataFrame) -> DataFrame:
+    """packed (y, held) with spans that touch or overlap made one."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for held in b.column(1).to_pylist():
+                x = runs(np.frombuffer(held, "<i4").reshape(-1, 2), 1, None)
+                out.append(np.stack([x[:, 0], x[:, 1] - 1], 1).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["y", "held"])
+
+    return packed.mapInArrow(join, "y bigint, held binary")
+
+
+def runs(spans: np.ndarray, length: int, size: int | None) -> np.ndarray:
+    """The maximal runs (from, to exclusive) that strings of so many bytes cover, from spans (first, last start) in any order, up to size."""
     if not len(spans):
         return np.zeros((0, 2), np.int64)
-    a, z = spans[:, 0].astype(np.int64), np.minimum(spans[:, 1].astype(np.int64) + LENGTH, size)
+    a, z = spans[:, 0].astype(np.int64), spans[:, 1].astype(np.int64) + length
     order = np.argsort(a, kind="stable")
     a, z = a[order], np.maximum.accumulate(z[order])
-    new = np.concatenate([[True], a[1:] > z[:-1]])
-    first = np.flatnonzero(new)
-    return np.stack([a[first], z[np.concatenate([first[1:], [len(a)]]) - 1]], 1)
+    first = np.flatnonzero(np.concatenate([[True], a[1:] > z[:-1]]))
+    out = np.stack([a[first], z[np.concatenate([first[1:], [len(a)]]) - 1]], 1)
+    return out if size is None else np.minimum(out, size)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -323,7 +337,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         drop(texts)
     if known is not None:
         known.unpersist()
-    out = materialize(_pack(reduce(DataFrame.unionByName, found)), "spans")
+    out = materialize(_joined(_pack(reduce(DataFrame.unionByName, found))), "spans")
     for x in found:
         drop(x)
     return out
@@ -356,7 +370,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out: list[tuple] = []
             for doc, text, held in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 raw = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
-                gone = runs(np.frombuffer(held or b"", "<i4").reshape(-1, 2), len(raw))
+                gone = runs(np.frombuffer(held or b"", "<i4").reshape(-1, 2), LENGTH, len(raw))
                 kept, at = hashlib.sha256(), 0
                 for a, z in gone.tolist():
                     kept.update(raw[at:a])
