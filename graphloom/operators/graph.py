@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,12 +33,11 @@ CLASS_TYPES = [OWL + "Class", RDFS + "Class"]
 PROPERTY_TYPES = {OWL + "ObjectProperty": "ObjectProperty", OWL + "DatatypeProperty": "DatatypeProperty", OWL + "AnnotationProperty": "DatatypeProperty", RDF + "Property": "DatatypeProperty"}
 
 
-def shared(df: DataFrame, tag: str) -> DataFrame:
-    """A written copy in the folder that driver and executors share; the lineage ends here.
+def _shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share.
 
     Where spark.checkpoint.dir is unset, a folder of our own is made in local mode; elsewhere this is an error.
     """
-    spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -48,9 +46,32 @@ def shared(df: DataFrame, tag: str) -> DataFrame:
 
         found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
-    path = f"{found.rstrip('/')}/graphloom/{tag}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/graphloom/{tag}-{uuid.uuid4().hex}"
+
+
+def shared(df: DataFrame, tag: str) -> DataFrame:
+    """A written copy in the folder that driver and executors share; the lineage ends here."""
+    path = _shared_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """One table that grows round by round: a folder for each round, all of them one scan."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path, self.count, self.schema = spark, _shared_path(spark, tag), 0, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """df as the next round, written; what is returned reads that round alone."""
+        self.schema = self.schema or df.schema
+        path = f"{self.path}/round={self.count}"
+        df.write.parquet(path)
+        self.count += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("round")
 
 
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -64,20 +85,16 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     """S01, S56, V23. (root, node, depth) reachable from roots (root) over edges (src, dst), each at its least depth.
 
     A round joins the last round's nodes with the edges and keeps what is new; each round is written to
-    the shared folder. Cycles end by themselves, as nothing is new in them; max_depth, if given, ends it earlier.
+    the shared folder, where all rounds are one table. Cycles end by themselves, as nothing is new in them; max_depth, if given, ends it earlier.
     """
-    seen = shared(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
-    last, rounds = seen, [seen]
+    rounds = Rounds(roots.sparkSession, "closure")
+    last = rounds.add(roots.select(F.col("root"), F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
     for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = last.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        before = rounds[0]
-        for r in rounds[1:]:
-            before = before.unionByName(r)
-        last = shared(step.join(before, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        last = rounds.add(step.join(rounds.all(), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if last.isEmpty():
-            return before
-        rounds.append(last)
-    return reduce(DataFrame.unionByName, rounds)
+            break
+    return rounds.all()
 
 
 def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -102,11 +119,12 @@ def walk(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def list_members(cells: DataFrame, heads: DataFrame) -> DataFrame:
     """S02, S40, H09. (head, members, valid) of lists of cells (cell, first, rest) from heads (head).
 
-    A list is valid if each of its cells has one first and one rest and it ends in nil.
+    A list is valid if each of its cells has one first and one rest and it ends in nil. A cell that has
+    several ends its list: what is behind it doesn't matter any more, and jumps never branch.
     """
-    edges = cells.select(F.col("cell").alias("src"), F.col("rest").alias("dst"))
+    held = shared(cells.groupBy("cell").agg(F.min("first").alias("first"), F.min("rest").alias("rest"), F.count("*").alias("n")), "cells")
+    edges = held.where("n = 1").select(F.col("cell").alias("src"), F.col("rest").alias("dst"))
     walked = walk(edges, heads.select(F.col("head").alias("root")))
-    held = cells.groupBy("cell").agg(F.min("first").alias("first"), F.count("*").alias("n"))
     rows = walked.join(held, F.col("node") == F.col("cell"), "left").groupBy("root").agg(
         F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("depth", "first")))).alias("m"),
         F.bool_or(F.col("node") == RDF + "nil").alias("ends"),

@@ -1,16 +1,26 @@
 """Shape validation over triples: parameters are a table, and each kind of check one plan over all shapes.
 
 triples (s, s_kind, p, o, o_kind, o_dt, o_lang). params (shape, target_class, path, component, arg, args,
-severity): a row a constraint, path null for the focus itself. Results (focus, path, value, component,
-shape, severity). Targets and value nodes are joined by class and predicate, counts are aggregated map-side.
+severity): a row a constraint, path null for the focus itself, else a predicate or a property path (see
+paths). Results (focus, path, value, component, shape, severity). Targets and value nodes are joined by class
+and predicate, counts are aggregated map-side.
+
+Constraints that ask for other shapes (node, property, not, and, or, xone, qualified counts) name them in
+args. Shapes are taken by strata of what they ask for: from the top down, each stratum's value nodes become
+focus nodes of the shapes below; from the bottom up, each stratum is judged with the failures of those below.
+A stratum is one plan, however many shapes it has, and each is written.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
+from graphloom.operators import graph as G
+from graphloom.operators import paths as P
 
 RESULT = ["focus", "path", "value", "component", "shape", "severity"]
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -93,8 +103,9 @@ def check_values(found: DataFrame, params: DataFrame) -> DataFrame:
 
 def check_class(found: DataFrame, params: DataFrame, types: DataFrame) -> DataFrame:
     """V14. Values that aren't instances of the class; types come closed over subclasses."""
+    node = "term" if "term" in found.columns else "value"
     rows = found.join(params.where("component = 'class'").select("shape", "path", "component", "arg", "severity"), ["shape", "path"])
-    return rows.join(types.select(F.col("s").alias("value"), F.col("type").alias("arg")), ["value", "arg"], "left_anti").select(RESULT)
+    return rows.join(types.select(F.col("s").alias(node), F.col("type").alias("arg")), [node, "arg"], "left_anti").select(RESULT)
 
 
 def check_pairs(focus: DataFrame, found: DataFrame, params: DataFrame, triples: DataFrame) -> DataFrame:
@@ -142,23 +153,190 @@ def combine(focus: DataFrame, failing: DataFrame, logic: DataFrame) -> DataFrame
     return rows.where(~good).withColumns({"path": none, "value": none}).select(RESULT)
 
 
-def check_qualified(focus: DataFrame, found: DataFrame, params: DataFrame, failing: DataFrame) -> DataFrame:
-    """V25. qualifiedMinCount and qualifiedMaxCount: values that conform to the shape in args[1]."""
-    want = params.where(F.col("component").isin("qualifiedMinCount", "qualifiedMaxCount")).withColumn("member", F.element_at("args", 1))
-    good = found.join(want.select("shape", "path", "component", "member"), ["shape", "path"]).join(failing.select(F.col("shape").alias("member"), F.col("focus").alias("value")), ["member", "value"], "left_anti")
-    n = good.groupBy("shape", "path", "focus", "component").agg(F.count("*").alias("n"))
-    rows = focus.join(want, "shape").join(n, ["shape", "path", "focus", "component"], "left")
+#: Components that ask whether nodes conform to other shapes, which args names; a qualified count may add its siblings to leave out.
+LOGIC = ["node", "and", "or", "xone", "not"]
+QUALIFIED = ["qualifiedMinCount", "qualifiedMaxCount"]
+NESTED = [*LOGIC, *QUALIFIED, "property"]
+_FOCUS = ["shape", "focus", *P.NODE]
+
+
+class ShapeRecursionError(ValueError):
+    """Shapes that ask for themselves."""
+
+
+def references(params: DataFrame) -> DataFrame:
+    """(shape, member): what shapes ask for, each once."""
+    return params.where(F.col("component").isin(NESTED)).select("shape", F.explode("args").alias("member")).distinct()
+
+
+def strata(params: DataFrame) -> tuple[DataFrame, int]:
+    """((shape, level), strata): a shape's level is one above the highest of those that it asks for.
+
+    A round levels the shapes whose members all have levels. Shapes that ask for themselves, or for such
+    as do, are an error that names the least few.
+    """
+    refs = references(params)
+    every = params.select("shape").unionByName(refs.select(F.col("member").alias("shape"))).distinct()
+    if refs.isEmpty():
+        return every.withColumn("level", F.lit(0)), 1
+    refs, rounds = G.shared(refs, "references"), G.Rounds(params.sparkSession, "strata")
+    open_ = G.shared(every, "shapes")
+    level = 0
+    while not open_.isEmpty():
+        waits = refs.join(open_.select(F.col("shape").alias("member")), "member", "left_semi").select("shape").distinct()
+        now = rounds.add(open_.join(waits, "shape", "left_anti").withColumn("level", F.lit(level)))
+        if now.isEmpty():
+            names = [r.shape for r in open_.orderBy("shape").limit(5).collect()]
+            raise ShapeRecursionError(f"shapes ask for themselves: {', '.join(names)}")
+        open_ = G.shared(open_.join(now.select("shape"), "shape", "left_anti"), "shapes")
+        level += 1
+    return rounds.all(), level
+
+
+def focus_nodes(types: DataFrame, params: DataFrame, triples: DataFrame) -> DataFrame:
+    """V10. (shape, focus, value, kind, dt, lang) of targets: classes' instances, named nodes, subjects and objects of predicates.
+
+    focus is the name that tells nodes apart (see paths.term). An instance's kind is a blank node's by its name.
+    """
+    none = F.lit(None).cast("string")
+    named = lambda df, c: df.select("shape", F.col(c).alias("value"), F.when(F.col(c).startswith("_:"), "bnode").otherwise("iri").alias("kind"), none.alias("dt"), none.alias("lang"))
+    want = lambda c: params.select("shape", F.col(c).alias("want")).where("want is not null").distinct()
+    out = named(want("target_class").join(types.select("s", F.col("type").alias("want")), "want"), "s")
+    if "target_node" in params.columns:
+        out = out.unionByName(named(want("target_node"), "want"))
+    if "target_subjects_of" in params.columns:
+        own = want("target_subjects_of").join(triples.withColumnRenamed("p", "want"), "want")
+        out = out.unionByName(own.select("shape", F.col("s").alias("value"), F.col("s_kind").alias("kind"), none.alias("dt"), none.alias("lang")))
+    if "target_objects_of" in params.columns:
+        own = want("target_objects_of").join(triples.withColumnRenamed("p", "want"), "want")
+        out = out.unionByName(own.select("shape", F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang")))
+    return out.withColumn("focus", P.term("value", "kind", "dt", "lang")).dropDuplicates(["shape", "focus"]).select(_FOCUS)
+
+
+def value_nodes(focus: DataFrame, params: DataFrame, triples: DataFrame) -> DataFrame:
+    """(shape, path, focus, value, kind, dt, lang, term): the distinct value nodes of focus nodes along all paths of their shapes.
+
+    The empty path is the focus itself. Plain predicates are one join; other paths are walked together.
+    """
+    asked = params.select("shape", F.coalesce("path", F.lit("")).alias("path")).distinct()
+    own = focus.join(asked.where("path = ''"), "shape").select("shape", "path", "focus", *P.NODE)
+    plain = focus.select("shape", "focus", "kind", F.col("value").alias("s")).where("kind <> 'literal'").drop("kind").join(asked.where((F.col("path") != "") & ~P.is_complex("path")), "shape")
+    found = plain.join(triples.select("s", F.col("p").alias("path"), F.col("o").alias("value"), F.col("o_kind").alias("kind"), F.col("o_dt").alias("dt"), F.col("o_lang").alias("lang")), ["s", "path"])
+    out = own.unionByName(found.select(own.columns))
+    far = asked.where(P.is_complex("path"))
+    if not far.isEmpty():
+        begun = G.shared(focus.join(far, "shape"), "starts")
+        ends = P.reach(begun.select("path", "focus", *P.NODE).dropDuplicates(["path", "focus"]), triples)
+        out = out.unionByName(begun.select("shape", "path", "focus").join(ends, ["path", "focus"]).select(own.columns))
+    return out.withColumn("term", P.term("value", "kind", "dt", "lang")).dropDuplicates(["shape", "path", "focus", "term"])
+
+
+def constraint_ids(params: DataFrame) -> DataFrame:
+    """params with cid: what tells constraints apart where a shape has several of a component on one path."""
+    return params.withColumn("cid", F.xxhash64("shape", "path", "component", "arg", "args", "severity"))
+
+
+def check_nested(focus: DataFrame, found: DataFrame, params: DataFrame, failing: DataFrame) -> DataFrame:
+    """V17-V21, V25. node, and, or, xone and not of value nodes, and qualified counts, over failing (shape, term) of the shapes below.
+
+    One aggregation counts, for each value node and constraint, the members that it doesn't conform to.
+    """
+    every = constraint_ids(params.where(F.col("component").isin([*LOGIC, *QUALIFIED])))
+    of = ["shape", "path", "cid"]
+    qualified = F.col("component").isin(QUALIFIED)
+    # of a qualified count the first member is to conform, and its siblings are not
+    members = every.select(*of, F.explode(F.when(qualified, F.slice("args", 1, 1)).otherwise(F.array_distinct("args"))).alias("member"))
+    bad = failing.select(F.col("shape").alias("member"), "term")
+    on = [*of, "focus", "term"]
+    fails = found.join(members, ["shape", "path"]).join(bad, ["member", "term"], "left_semi").groupBy(on).agg(F.count("*").alias("fails"))
+    seen = found.join(every.select(*of, "component", "severity", F.size(F.array_distinct("args")).alias("members")), ["shape", "path"]).join(fails, on, "left").withColumn("ok", F.col("members") - F.coalesce("fails", F.lit(0)))
+    c = F.col("component")
+    good = F.when(c.isin("and", "node"), F.col("ok") == F.col("members")).when(c == "or", F.col("ok") > 0).when(c == "xone", F.col("ok") == 1).when(c == "not", F.col("ok") == 0)
+    out = seen.where(~qualified & ~good).select(RESULT)
+    # qualified counts: values that conform, of which no sibling holds
+    sibling = every.where(qualified).select(*of, F.explode(F.slice("args", 2, 1 << 30)).alias("member"))
+    holds = found.join(sibling, ["shape", "path"]).join(bad, ["member", "term"], "left_anti").select(on).distinct()
+    counted = seen.where(qualified & F.col("fails").isNull()).join(holds, on, "left_anti").groupBy(*of, "focus").agg(F.count("*").alias("n"))
+    return out.unionByName(_qualified(focus, every.where(qualified), counted))
+
+
+def _qualified(focus: DataFrame, every: DataFrame, counted: DataFrame) -> DataFrame:
+    """Focus nodes (shape, focus) whose counts (shape, path, cid, focus, n) are out of the limits; none counted is zero."""
+    rows = focus.select("shape", "focus").distinct().join(every, "shape").join(counted, ["shape", "path", "cid", "focus"], "left")
     count, limit = F.coalesce("n", F.lit(0)), F.col("arg").cast("bigint")
     bad = F.when(F.col("component") == "qualifiedMinCount", count < limit).otherwise(count > limit)
     return rows.where(bad).withColumn("value", F.lit(None).cast("string")).select(RESULT)
 
 
-def validate(triples: DataFrame, types: DataFrame, params: DataFrame) -> DataFrame:
-    """V01. The results of all simple components; combine() adds logical ones, stage by stage."""
-    focus = targets(types, params, triples)
-    found = values(focus, params, triples)
-    out = check_counts(focus, found, params).unionByName(check_values(found, params)).unionByName(check_class(found, params, types))
-    return out.unionByName(check_pairs(focus, found, params, triples)).unionByName(check_unique_lang(found, params)).unionByName(check_closed(focus, params, triples))
+def validate(triples: DataFrame, types: DataFrame, params: DataFrame, blocking: list[str] | None = None) -> DataFrame:
+    """V01, V10-V25. The results of all shapes for their targets, written.
+
+    A node conforms to a shape that another asks for if it has no result there, or none of the severities
+    in blocking. A nested property shape adds its own results, and a value node that fails it makes its focus
+    fail. Shapes that ask for themselves are an error; a shape that is asked for and has no constraints holds.
+    """
+    spark = triples.sparkSession
+    triples = P.sided(triples)
+    aimed, params = params, G.shared(params.where("component is not null").select("shape", "path", "component", "arg", "args", "severity").distinct(), "params")
+    if params.where(F.col("component").isin(NESTED)).isEmpty():
+        focus = G.shared(focus_nodes(types, aimed, triples), "focus")
+        return _judged(focus, params, _components(params), triples, types, None, G.shared(value_nodes(focus, params, triples), "values"))
+    levels, n = strata(params)
+    levels = G.shared(levels, "levels")
+    leveled = G.shared(params.join(levels, "shape"), "params")
+    asked = G.shared(references(params).join(levels.select(F.col("shape").alias("member"), F.col("level").alias("to")), "member"), "references")
+    nested = G.shared(params.where(F.col("component").isin(NESTED)).select("shape", F.coalesce("path", F.lit("")).alias("path"), (F.col("component") == "property").alias("direct"), F.explode("args").alias("member")).distinct().join(asked, ["shape", "member"]), "nested")
+    targets_ = G.shared(focus_nodes(types, aimed, triples).join(levels, "shape").withColumn("top", F.lit(True)), "targets")
+    # from the top down: what each stratum asks about
+    demands = G.Rounds(spark, "demands")
+    demands.add(targets_.select(*_FOCUS, "level", "top"))
+    held = {}
+    for level in reversed(range(n)):
+        focus = demands.all().where(F.col("level") == level).groupBy("shape", "focus").agg(*[F.first(c).alias(c) for c in P.NODE], F.max("top").alias("top"))
+        focus = G.shared(focus, "focus")
+        own = leveled.where(F.col("level") == level).drop("level")
+        found = G.shared(value_nodes(focus.select(_FOCUS), own, triples), "values")
+        held[level] = focus, own, found
+        if level:
+            down = found.join(nested, ["shape", "path"]).join(focus.select("shape", "focus", "top"), ["shape", "focus"])
+            down = down.groupBy(F.col("member").alias("shape"), F.col("term").alias("focus"), F.col("to").alias("level")).agg(*[F.first(c).alias(c) for c in P.NODE], F.max(F.col("top") & F.col("direct")).alias("top"))
+            demands.add(down.select(*_FOCUS, "level", "top"))
+    # from the bottom up: who fails
+    failing, results = G.Rounds(spark, "failing"), G.Rounds(spark, "results")
+    failing.add(spark.createDataFrame([], "shape string, term string"))
+    for level in range(n):
+        focus, own, found = held[level]
+        judged = G.shared(_judged(focus.select(_FOCUS), own, _components(own), triples, types, failing.all(), found), "judged")
+        results.add(judged.join(focus.where("top").select("shape", "focus"), ["shape", "focus"], "left_semi").select(RESULT))
+        bad = judged.where(F.col("severity").isin(blocking)) if blocking else judged
+        direct = found.join(nested.where("direct").select("shape", "path", "member"), ["shape", "path"])
+        through = direct.join(failing.all().withColumnRenamed("shape", "member"), ["member", "term"], "left_semi").select("shape", F.col("focus").alias("term"))
+        failing.add(bad.select("shape", F.col("focus").alias("term")).unionByName(through).distinct())
+    return results.all()
+
+
+def _components(params: DataFrame) -> set[str]:
+    """The names of components in use; of the vocabulary there are some thirty."""
+    return {r.component for r in params.select("component").distinct().collect()}
+
+
+def _judged(focus: DataFrame, params: DataFrame, used: set[str], triples: DataFrame, types: DataFrame, failing: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The results of one stratum: of focus nodes and their value nodes found, both written; only checks in use are planned."""
+    keyed = params.withColumn("path", F.coalesce("path", F.lit("")))
+    own = focus.select("shape", "focus")
+    checks = [
+        (["minCount", "maxCount", "hasValue"], lambda: check_counts(own, found, keyed)),
+        (VALUE_COMPONENTS, lambda: check_values(found, keyed)),
+        (["class"], lambda: check_class(found, keyed, types)),
+        (["equals", "disjoint", "lessThan", "lessThanOrEquals"], lambda: check_pairs(own, found, keyed, triples)),
+        (["uniqueLang"], lambda: check_unique_lang(found, keyed)),
+        (["closed"], lambda: check_closed(focus.where("kind <> 'literal'").select("shape", "focus"), params, triples)),
+        ([*LOGIC, *QUALIFIED], lambda: check_nested(focus, found, keyed, failing)),
+    ]
+    parts = [check() for names, check in checks if used & set(names)]
+    if not parts:
+        return own.where("false").select("focus", *[F.lit(None).cast("string").alias(c) for c in ("path", "value", "component")], "shape", F.lit(None).cast("string").alias("severity"))
+    return reduce(DataFrame.unionByName, parts).withColumn("path", F.nullif("path", F.lit("")))
 
 
 def severity_counts(results: DataFrame) -> DataFrame:
