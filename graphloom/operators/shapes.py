@@ -67,12 +67,13 @@ def bound(first: DataFrame, later: DataFrame) -> DataFrame:
     return first.select("prefix", "ns").unionByName(later.select("prefix", "ns").join(first.select("prefix"), "prefix", "left_anti"))
 
 
-def without_orphans(triples: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """S74. Triples without blank subjects that nothing refers to; what they alone referred to goes as well."""
+def without_orphans(triples: DataFrame, max_rounds: int = 100, keep: DataFrame | None = None) -> DataFrame:
+    """S74. Triples without blank subjects that nothing refers to; what they alone referred to goes as well, keep (s) stays."""
     now = triples
     for _ in range(max_rounds):
         used = now.where("o_kind = 'bnode'").select(F.col("o").alias("s")).distinct()
         orphans = now.where("s_kind = 'bnode'").select("s").distinct().join(used, "s", "left_anti")
+        orphans = orphans if keep is None else orphans.join(keep, "s", "left_anti")
         if orphans.isEmpty():
             return now
         now = G.shared(now.join(orphans, "s", "left_anti").select(triples.columns), "orphans")
