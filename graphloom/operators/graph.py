@@ -6,7 +6,6 @@ import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -74,6 +73,24 @@ class Rounds:
         return self.spark.read.schema(self.schema).parquet(self.path).drop("round")
 
 
+def total_order(df: DataFrame, by: list[Column], out: str) -> DataFrame:
+    """df, written, with out: each row's place (from 0, bigint) in the order by, over as many partitions as a shuffle has.
+
+    Rows are dealt by ranges and sorted within them; a row's place is its place in its range plus the rows of
+    the ranges before, of which only the counts meet on the driver. Rows that are equal in by follow each
+    other in any order.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mid = F.monotonically_increasing_id()  # the partition above 33 bits, the place in it below
+    placed = shared(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", mid), "ordered")
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before = [(p, sum(m for _, m in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    begins = F.broadcast(spark.createDataFrame(before, "__part bigint, __before bigint"))  # a row a partition
+    at = placed.withColumn("__part", F.shiftright("__at", 33)).join(begins, "__part", "left")
+    return at.withColumn(out, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).select(*df.columns, out)
+
+
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
     """G30. Triples that agree with what is given."""
     for c, v in (("s", s), ("p", p), ("o", o)):
@@ -236,13 +253,11 @@ def catalog(triples: DataFrame, prefixes: Column) -> DataFrame:
         F.when(is_class, F.coalesce("superclasses", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")).alias("superclasses"),
         F.coalesce("c.o", F.lit("")).alias("comment"),
     )
-    # a catalog is one table of terms: its order is over all of them
-    first = F.row_number().over(W.orderBy("type", "kind_rank", "s")) - 1
     rank = F.when(F.col("kind") == "ObjectProperty", 0).otherwise(1)
-    rows = rows.withColumn("kind_rank", rank).withColumn("pre", first)
-    ord_ = F.row_number().over(W.orderBy("type", F.lower("label"), "pre")) - 1
+    rows = total_order(rows.withColumn("kind_rank", rank), [F.col(c) for c in ("type", "kind_rank", "s")], "pre").withColumn("pre", F.col("pre").cast("int"))
+    rows = total_order(rows, [F.col("type"), F.lower("label"), F.col("pre")], "ord")
     return rows.select(
-        ord_.alias("ord"), F.concat_ws("-", "type", F.col("pre").cast("string")).alias("id"), "type", "label", "iri", F.col("s").alias("full_iri"), "kind", "domain", "range", "superclasses", "comment",
+        F.col("ord").cast("int").alias("ord"), F.concat_ws("-", "type", F.col("pre").cast("string")).alias("id"), "type", "label", "iri", F.col("s").alias("full_iri"), "kind", "domain", "range", "superclasses", "comment",
         note("kind", "iri", "domain", "range", "comment").alias("note"),
     )
 
@@ -280,8 +295,8 @@ def coverage(terms: DataFrame, prefixes: DataFrame, hints: DataFrame) -> DataFra
     hint = F.exists("iris", lambda i: i.startswith(F.col("ns")) | (stem(i) == stem(F.col("ns"))))
     n = F.coalesce("term_count", F.lit(0)).cast("bigint")
     out = c.select("ns", n.alias("term_count"), F.when(F.col("total") > 0, F.bround(n / F.col("total"), 4)).otherwise(0.0).alias("coverage"), F.coalesce("prefixes", F.array().cast("array<string>")).alias("prefixes"), hint.alias("ontology_hint"))
-    w = W.orderBy(F.desc("term_count"), F.desc("ontology_hint"), F.desc(F.array_contains("prefixes", "")), "ns")
-    return out.withColumn("rank", F.row_number().over(w))
+    by = [F.desc("term_count"), F.desc("ontology_hint"), F.desc(F.array_contains("prefixes", "")), F.col("ns")]
+    return total_order(out, by, "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def base_namespace(covered: DataFrame) -> DataFrame:
@@ -345,8 +360,8 @@ def prefix_block(prefixes: DataFrame, inferred: DataFrame, base: str, shape_ns:
     g = every.groupBy("prefix").agg(F.min_by("ns", "rank").alias("ns"))
     clash = (F.col("prefix") == shape_prefix) & (F.col("ns") != shape_ns) & (F.lit(shape_ns) != "")
     g = g.withColumn("ns", F.when(clash, F.raise_error(F.concat(F.lit(f"shape prefix {shape_prefix} is already bound to "), "ns"))).otherwise(F.col("ns")))
-    ord_ = F.row_number().over(W.orderBy(F.col("prefix") != base_prefix, "prefix"))
-    return g.select("prefix", "ns", ord_.alias("ord"), F.format_string("@prefix %s: <%s> .", "prefix", "ns").alias("line"))
+    g = total_order(g, [F.col("prefix") != base_prefix, F.col("prefix")], "ord")
+    return g.select("prefix", "ns", (F.col("ord") + 1).cast("int").alias("ord"), F.format_string("@prefix %s: <%s> .", "prefix", "ns").alias("line"))
 
 
 def parse_prefix_block(block: Column | str) -> Column:

@@ -2,24 +2,32 @@
 
 Tables: terms (ord, id, type, label, iri, full_iri, kind, domain, range, superclasses, comment, note) and
 rules (rule_id, number, title, text). Rules may be many, terms are a catalog. Candidate pairs come from
-an equality join on stemmed tokens, never from all pairs: a phrase that a rule holds shares all of its
-tokens with the rule. The catalog side is as small as the planner measures it, and is broadcast by it.
+an equality join on stemmed tokens, or on runs of three characters, never from all pairs: a phrase that a
+rule holds shares all of its tokens with the rule. Vectors meet in blocks. The catalog side is as small as the planner measures it, and is broadcast by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import values as V
+from graphloom.operators import graph as G
 
 # fixed values: thresholds and widths of the cascade
 LABEL, STRONG_LABEL, SEMANTIC = 0.68, 0.86, 0.60
 LABEL_MARGIN, SEMANTIC_MARGIN = 0.22, 0.16
 MAX_TARGETS, MAX_SEMANTIC_TARGETS, TOP_K, LEXICAL_TOP_K = 8, 4, 10, 8
 MAX_TOP_K, MAX_SEMANTIC_LIMIT = 50, 20
+#: Queries and vectors of a block.
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
 
 TERM_FIELDS = ["id", "type", "label", "iri", "full_iri", "kind", "domain", "range", "superclasses", "comment", "note"]
 
@@ -165,24 +173,47 @@ def label_targets(candidates: DataFrame, threshold: float = LABEL, max_targets:
 def rank_lexical(rules: DataFrame, terms: DataFrame, allowed_types: list[str] | None = None, top_k: int = LEXICAL_TOP_K) -> DataFrame:
     """R30. (rule_id, entity_id, term_ord, score, rank): tokens found anywhere in a term's text, repeats counting again.
 
-    A token need only be part of a word, so that an equality join can't find it; the catalog, a few
-    thousand terms, is one broadcast side as the planner measures it, and scores never leave the row.
+    A token need only be part of a word: it is looked up by the rarest of its runs of three characters among
+    those of all terms' texts, each distinct token once, and what is found is verified. Terms that a rule's
+    wording alone speaks for are alike but for their order, so that the first top_k of their type are enough.
     """
     rule = T.text("rule")
     r = rules.select("rule_id", F.concat(T.text("title"), F.lit("\n"), T.text("text")).alias("rule"))
     r = r.select("rule_id", T.lexical_tokens("rule").alias("toks"), rule.rlike("(?i)required|mandatory|exactly|format|greater|less|one of").alias("asks"), rule.rlike("(?i)record|instance|class|closed").alias("about"))
+    r = G.shared(r, "tokens")
     t = terms if not allowed_types else terms.where(F.col("type").isin(allowed_types))
     hay = F.lower(F.concat_ws(" ", *[T.text(c) for c in ("label", "iri", "kind", "type", "domain", "range", "note")]))
-    t = t.select(F.col("ord").alias("term_ord"), F.col("id").alias("entity_id"), "type", hay.alias("hay"), F.lower(T.text("label")).alias("low"))
-    points = lambda acc, tok: acc + F.when(F.col("hay").contains(tok), F.when(F.col("low").contains(tok), 20).otherwise(8)).otherwise(0)
-    score = F.aggregate("toks", F.lit(0), points) + F.when((F.col("type") == "property") & F.col("asks"), 7).otherwise(0) + F.when((F.col("type") == "class") & F.col("about"), 5).otherwise(0)
-    matched = F.array_sort(F.array_distinct(F.filter("toks", lambda tok: F.col("hay").contains(tok))))
-    out = r.crossJoin(t).select("rule_id", "term_ord", "entity_id", score.alias("raw"), matched.alias("matched")).where("raw > 0")
+    t = G.shared(t.select(F.col("ord").alias("term_ord"), F.col("id").alias("entity_id"), "type", hay.alias("hay"), F.lower(T.text("label")).alias("low")), "texts")
+    hits = token_hits(r.select(F.explode("toks").alias("tok")).distinct(), t)
+    said = r.select("rule_id", "asks", "about", F.explode("toks").alias("tok")).groupBy("rule_id", "asks", "about", "tok").agg(F.count("*").alias("times"))
+    of = ["rule_id", "asks", "about", "term_ord", "entity_id", "type"]
+    found = said.join(hits, "tok").groupBy(*of).agg(F.sum(F.col("times") * F.when(F.col("named"), 20).otherwise(8)).alias("points"), F.array_sort(F.collect_set("tok")).alias("matched"))
+    first = t.withColumn("nr", F.row_number().over(W.partitionBy("type").orderBy("term_ord"))).where(F.col("nr") <= top_k).select("term_ord", "entity_id", "type")
+    spoken = r.select("rule_id", "asks", "about", F.explode(F.array(F.when(F.col("asks"), "property"), F.when(F.col("about"), "class"))).alias("type")).join(first, "type")
+    spoken = spoken.join(found.select("rule_id", "term_ord"), ["rule_id", "term_ord"], "left_anti").select(*of, F.lit(0).cast("bigint").alias("points"), F.array().cast("array<string>").alias("matched"))
+    raw = F.col("points") + F.when((F.col("type") == "property") & F.col("asks"), 7).otherwise(0) + F.when((F.col("type") == "class") & F.col("about"), 5).otherwise(0)
     reasons = F.array(F.lit("lexical match"), F.when(F.size("matched") > 0, F.concat(F.lit("matched: "), F.array_join(F.slice("matched", 1, 4), ", "))).otherwise("rule signal"))
-    out = out.select("rule_id", "term_ord", "entity_id", F.least(F.lit(99), "raw").alias("score"), reasons.alias("reasons"))
+    out = found.unionByName(spoken).select("rule_id", "term_ord", "entity_id", F.least(F.lit(99), raw.cast("int")).alias("score"), reasons.alias("reasons"))
     return out.withColumn("rank", F.row_number().over(W.partitionBy("rule_id").orderBy(F.desc("score"), "term_ord"))).where(F.col("rank") <= top_k)
 
 
+def token_hits(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(tok, term_ord, entity_id, type, named): the texts (term_ord, entity_id, type, hay, low) that hold a token (tok) of three characters or more.
+
+    named: whether low holds it too. Of a token's runs of three characters the one that the fewest texts have
+    leads to the texts that are looked at.
+    """
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substr(F.col(c), i, F.lit(3))))
+    posted = texts.where(F.length("hay") > 2).select("term_ord", F.explode(grams("hay")).alias("gram"))
+    asked = tokens.where(F.length("tok") > 2).select("tok", F.explode(grams("tok")).alias("gram"))
+    wanted = asked.select("gram").distinct()
+    often = G.shared(posted.join(wanted, "gram", "left_semi"), "postings")
+    counts = often.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("tok").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    near = rarest.join(often, "gram").select("tok", "term_ord").join(texts, "term_ord")
+    return near.where(F.contains("hay", "tok")).select("tok", "term_ord", "entity_id", "type", F.contains("low", "tok").alias("named"))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 
@@ -195,16 +226,56 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 def rank_semantic(queries: DataFrame, vectors: DataFrame, allowed_types: list[str] | None = None, top_k: int = LEXICAL_TOP_K) -> DataFrame:
-    """R32. (rule_id, entity_id, term_ord, cosine, score, rank) of queries (rule_id, vec) against vectors (term_ord, entity_id, type, vec)."""
-    double = lambda c: F.col(c).cast("array<double>")
+    """R32. (rule_id, entity_id, term_ord, cosine, score, rank) of queries (rule_id, vec) against vectors (term_ord, entity_id, type, vec).
+
+    Exact: both sides are dealt into blocks, each block of queries meets each block of vectors, and a pair
+    of blocks gives top_k a query, which are merged. A matrix product finds what can be among them; their
+    cosines are then summed in the order of dimensions, so that equal vectors tie. Rows without a vector
+    aren't ranked; vectors of several lengths are an error.
+    """
     v = vectors if not allowed_types else vectors.where(F.col("type").isin(allowed_types))
-    v = v.select("term_ord", "entity_id", double("vec").alias("v")).withColumn("nv", norm(F.col("v")))
-    q = queries.select("rule_id", double("vec").alias("q")).withColumn("nq", norm(F.col("q")))
-    out = q.crossJoin(v).select("rule_id", "term_ord", "entity_id", cosine(F.col("q"), F.col("v"), F.col("nq"), F.col("nv")).alias("cosine"))
-    out = out.withColumn("rank", F.row_number().over(W.partitionBy("rule_id").orderBy(F.desc("cosine"), "term_ord"))).where(F.col("rank") <= top_k)
+    held = lambda df: df.where("vec is not null and size(vec) > 0 and not exists(vec, x -> x is null)")
+    q = G.shared(held(queries).select("rule_id", F.col("vec").cast("array<double>").alias("vec")), "queries")
+    v = G.shared(held(v).select("term_ord", "entity_id", F.col("vec").cast("array<double>").alias("vec")), "vectors")
+    of = lambda n, most: max(1, -(-n // most))
+    nq, nv = of(q.count(), QUERY_BLOCK), of(v.count(), VECTOR_BLOCK)
+    qb = q.groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(nq)).alias("qb")).agg(F.collect_list(F.struct("rule_id", "vec")).alias("x")).select("qb", F.col("x.rule_id").alias("rules"), F.col("x.vec").alias("q"))
+    vb = v.groupBy(F.pmod(F.xxhash64("term_ord"), F.lit(nv)).alias("vb")).agg(F.collect_list(F.struct("term_ord", "entity_id", "vec")).alias("x")).select("vb", F.col("x.term_ord").alias("ords"), F.col("x.entity_id").alias("entities"), F.col("x.vec").alias("v"))
+    pairs = qb.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(nv - 1).cast("bigint")))).join(vb, "vb").select("rules", "q", "ords", "entities", "v")
+    rule_type, ord_type = (df.schema[c].dataType.simpleString() for df, c in ((q, "rule_id"), (v, "term_ord")))
+    best = pairs.mapInArrow(_best_pairs(top_k), f"rule_id {rule_type}, term_ord {ord_type}, entity_id string, cosine double")
+    out = best.withColumn("rank", F.row_number().over(W.partitionBy("rule_id").orderBy(F.desc("cosine"), "term_ord"))).where(F.col("rank") <= top_k)
     return out.withColumn("score", F.greatest(F.lit(1), F.least(F.lit(99), F.bround(F.col("cosine") * 100).cast("int"))))
 
 
+def _best_pairs(top_k: int):
+    """For mapInArrow: of each pair of blocks (rules, q, ords, entities, v) the top_k vectors of each query, by cosine and then by order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matrix = lambda c: np.stack([np.asarray(x.values) for x in c])
+        fold = lambda a, b: reduce(lambda s, d: s + a[:, d] * b[:, d], range(a.shape[1]), np.zeros(len(a)))
+        for batch in batches:
+            for rules, q, ords, entities, v in zip(*batch.columns, strict=True):
+                a, b = matrix(q), matrix(v)
+                na, nb = np.sqrt(fold(a, a)), np.sqrt(fold(b, b))
+                scale = na[:, None] * nb[None]
+                near = np.where(scale > 0, a @ b.T / np.where(scale > 0, scale, 1), 0.0)
+                if near.shape[1] > top_k:
+                    least = np.partition(near, -top_k, axis=1)[:, -top_k]
+                    rows, at = np.nonzero(near >= least[:, None] - 1e-9)
+                else:
+                    rows, at = (x.ravel() for x in np.indices(near.shape))
+                n = na[rows] * nb[at]
+                exact = np.where(n > 0, fold(a[rows], b[at]) / np.where(n > 0, n, 1), 0.0)
+                number = np.asarray(ords.values)[at]
+                order = np.lexsort((number, -exact, rows))
+                place = np.arange(len(order)) - np.searchsorted(rows[order], rows[order], "left")
+                keep = order[place < top_k]
+                yield pa.RecordBatch.from_arrays([rules.values.take(pa.array(rows[keep])), ords.values.take(pa.array(at[keep])), entities.values.take(pa.array(at[keep])), pa.array(exact[keep])], ["rule_id", "term_ord", "entity_id", "cosine"])
+
+    return run
+
+
 def coerce_ranked(found: DataFrame, terms: DataFrame, compat: bool = False) -> DataFrame:
     """R42. Ranked items (rule_id, key, score, reasons) as candidates of known terms; scores of 0-100 become 0-1.
 
@@ -260,8 +331,10 @@ def choice_pool(rules: DataFrame, terms: DataFrame, label: DataFrame, semantic:
     words = rank_lexical(rules, terms, None, limit)
     of = terms.select(F.col("ord").alias("term_ord"), target().alias("target")).where("target <> ''")
     words = words.join(of, "term_ord").withColumn("score", F.bround(F.col("score") / 100.0, 3))
-    broad = terms.select(F.col("ord").alias("term_ord"), target().alias("target"), F.row_number().over(W.orderBy(T.text("type"), T.text("label"), "ord")).alias("rank")).where(f"target <> '' and rank <= {limit}")
-    broad = rules.select("rule_id").crossJoin(broad).select("*", F.lit(0.01).alias("score"), F.array(F.lit("llm broad candidate pool")).alias("reasons"))
+    # the first of the catalog, a bounded number of rows: for every rule
+    by = [T.text("type"), T.text("label"), F.col("ord")]
+    broad = terms.orderBy(*by).limit(limit).select(F.col("ord").alias("term_ord"), target().alias("target"), F.row_number().over(W.orderBy(*by)).alias("rank")).where("target <> ''")
+    broad = rules.select("rule_id").crossJoin(F.broadcast(broad)).select("*", F.lit(0.01).alias("score"), F.array(F.lit("llm broad candidate pool")).alias("reasons"))
     pool = pick(label, 0).unionByName(pick(semantic, 1)).unionByName(pick(words, 2)).unionByName(pick(broad, 3))
     first = F.struct("source", "at", "score", "reasons", "term_ord")
     pool = pool.groupBy("rule_id", "target").agg(F.min_by(first, F.struct("source", "at")).alias("c")).select("rule_id", "target", "c.*")
