@@ -11,6 +11,7 @@ from graphloom.functions import values as V
 from graphloom.operators import graph as G
 from graphloom.operators import validation as D
 from graphloom.plans import fixtures as X
+from graphloom.plans import ontology as O
 from graphloom.plans import sql as S
 from graphloom.plans.registry import query, table
 from graphloom.sources import rdf, rules
@@ -18,79 +19,52 @@ from graphloom.sources import rdf, rules
 RDF, RDFS, OWL = G.RDF, G.RDFS, G.OWL
 
 
-def _triples() -> list[tuple]:
-    """The fixture schema as triples (s, p, o, o_kind)."""
-    rows = [(X.BASE[:-1], RDF + "type", OWL + "Ontology", "iri")]
-    for _, _, type_, label, _, full, kind, domain, range_, supers, comment, _ in X.TERMS:
-        rows.append((full, RDF + "type", OWL + kind, "iri"))
-        rows.append((full, RDFS + "label", label, "literal"))
-        if comment:
-            rows.append((full, RDFS + "comment", comment, "literal"))
-        rows += [(full, RDFS + "subClassOf", X.BASE + s[3:], "iri") for s in supers]
-        if type_ == "property":
-            rows.append((full, RDFS + "domain", X.BASE + domain[3:], "iri"))
-            rows.append((full, RDFS + "range", (X.BASE + range_[3:]) if range_.startswith("fx:") else G.ESSENTIAL["xsd"] + range_[4:], "iri"))
-    return rows
-
-
-TRIPLES = _triples()
-TRIPLES_SQL = S.values("triples", ["s", "p", "o", "o_kind"], TRIPLES)
-PREFIXES = [("fx", X.BASE), ("xsd", G.ESSENTIAL["xsd"]), ("rdfs", RDFS), ("owl", OWL), ("shape", "http://fixture.example/shapes/"), ("unused", "http://unused.example/ns#"), ("", "http://page.example/")]
-PREFIXES_SQL = S.values("prefixes", ["prefix", "ns"], PREFIXES)
-TURTLE = "".join(f"@prefix {p}: <{n}> .\n" for p, n in PREFIXES) + "".join(f"<{s}> <{p}> " + (f"<{o}>" if k == "iri" else '"' + o + '"') + " .\n" for s, p, o, k in TRIPLES)
-
-
-def triples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TRIPLES, "s string, p string, o string, o_kind string").withColumn("s_kind", F.lit("iri"))
-
-
-def prefixes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PREFIXES, "prefix string, ns string")
-
-
-def prefix_map() -> Column:
-    return F.create_map(*[F.lit(x) for p, n in PREFIXES if p for x in (n, p)])
+prefix_map, prefixes, triples = O.prefix_map, O.prefixes, O.triples
+PREFIXES_SQL, TRIPLES_SQL = O.PREFIXES_SQL, O.TRIPLES_SQL
 
 
 _PQ = "'" + "', '".join(G.PROPERTY_TYPES) + "'"
 
 
-@query("catalog_terms", f"WITH {X.TERMS_SQL} SELECT CAST(ord AS INT) AS ord, type, label, iri, full_iri, kind, \"domain\", \"range\", array_to_string(superclasses, ' ') AS superclasses, comment, note FROM terms")
+@query("catalog_terms", f"WITH {O.TERMS_SQL} SELECT CAST(ord AS INT) AS ord, type, label, iri, full_iri, kind, \"domain\", \"range\", array_to_string(superclasses, ' ') AS superclasses, comment, note FROM terms")
 def catalog_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The schema's triples give its terms back"""
-    t = G.catalog(triples(spark), prefix_map())
+    t = G.catalog(triples(spark, sf_dir), prefix_map())
     return t.select("ord", "type", "label", "iri", "full_iri", "kind", "domain", "range", F.array_join("superclasses", " ").alias("superclasses"), "comment", "note")
 
 
 @query("catalog_from_turtle", f"WITH {TRIPLES_SQL} SELECT s, p, o, o_kind FROM triples")
 def from_turtle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Turtle document gives its triples"""
-    doc = spark.createDataFrame([("ont", TURTLE)], "doc_id string, content string")
-    return rdf.read_documents(doc).select("s", "p", "o", "o_kind")
+    """A Turtle document of each subject gives its triples"""
+    o = F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), "o", F.lit('"')))
+    line = F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" ."))
+    docs = triples(spark, sf_dir).groupBy(F.col("s").alias("doc_id")).agg(F.array_join(F.collect_list(line), "\n").alias("content"))
+    return rdf.read_documents(docs).select("s", "p", "o", "o_kind")
 
 
 @query("catalog_prefixes", f"WITH {PREFIXES_SQL} SELECT prefix, ns FROM prefixes")
 def from_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D4"""
-    return rdf.read_prefixes(spark.createDataFrame([("ont", TURTLE)], "doc_id string, content string")).select("prefix", "ns")
+    """Of documents that declare a prefix each"""
+    line = F.format_string("@prefix %s: <%s> .\n<a> <b> <c> .", "prefix", "ns")
+    return rdf.read_prefixes(prefixes(spark, sf_dir).select(F.col("ns").alias("doc_id"), line.alias("content"))).select("prefix", "ns")
 
 
 @query("catalog_match", f"WITH {TRIPLES_SQL} SELECT s, o FROM triples WHERE p = '{RDFS}subClassOf'")
 def pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G30"""
-    return G.match(triples(spark), p=RDFS + "subClassOf").select("s", "o")
+    return G.match(triples(spark, sf_dir), p=RDFS + "subClassOf").select("s", "o")
 
 
 @query("catalog_types", f"WITH {TRIPLES_SQL} SELECT DISTINCT s, CASE WHEN o IN ({_PQ}) THEN 'property' ELSE 'class' END AS type, CASE WHEN o = '{OWL}ObjectProperty' THEN 'ObjectProperty' WHEN o IN ({_PQ}) THEN 'DatatypeProperty' ELSE 'Class' END AS kind FROM triples WHERE p = '{RDF}type' AND o <> '{OWL}Ontology'")
 def types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G31, G32, G41"""
-    return G.term_types(triples(spark))
+    return G.term_types(triples(spark, sf_dir))
 
 
 @query("catalog_labels", f"WITH {TRIPLES_SQL} SELECT s, min(o) AS label FROM triples WHERE p = '{RDFS}label' GROUP BY s")
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G33-G35"""
-    return G.first_objects(triples(spark), G.LABELS, "l").select("s", F.col("l.o").alias("label"))
+    return G.first_objects(triples(spark, sf_dir), G.LABELS, "l").select("s", F.col("l.o").alias("label"))
 
 
 _NS = "CASE WHEN regexp_matches(url, '[A-Za-z_][A-Za-z0-9_.\\-]*$') THEN regexp_extract(url, '^(.*?)([A-Za-z_][A-Za-z0-9_.\\-]*)$', 1, 's') WHEN contains(url, '#') THEN regexp_extract(url, '^(.*#)[^#]*$', 1, 's') WHEN contains(url, '/') THEN regexp_extract(url, '^(.*/)[^/]*$', 1, 's') ELSE '' END"
@@ -112,7 +86,7 @@ j AS (SELECT ns, coalesce(term_count, 0) AS term_count, round_even(coalesce(term
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     hints = spark.createDataFrame([("http://page.example/onto",), ("http://fixture.example/schema",)], "iri string")
-    return G.coverage(table(spark, sf_dir, "pages").select(F.col("url").alias("iri")), prefixes(spark), hints)
+    return G.coverage(table(spark, sf_dir, "pages").select(F.col("url").alias("iri")), prefixes(spark, sf_dir), hints)
 
 
 @query("catalog_coverage", f"{_COVER} SELECT ns, term_count, coverage, prefixes, ontology_hint, CAST(row_number() OVER (ORDER BY term_count DESC, ontology_hint DESC, e DESC, ns) AS INT) AS rank FROM j")
@@ -130,14 +104,18 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("catalog_used_namespaces", f"WITH {TRIPLES_SQL}, i AS (SELECT s AS url FROM triples UNION SELECT p FROM triples UNION SELECT o FROM triples WHERE o_kind = 'iri') SELECT DISTINCT {_NS} AS ns FROM i WHERE {_NS} <> ''")
 def used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G43"""
-    return G.used_namespaces(triples(spark))
+    return G.used_namespaces(triples(spark, sf_dir))
+
+
+_KNOWN = list(G.KNOWN.items())
 
 
-@query("catalog_inferred_prefixes", "SELECT * FROM (VALUES ('skos', 'http://www.w3.org/2004/02/skos/core#'), ('prov', 'http://www.w3.org/ns/prov#')) v(prefix, ns)")
+@query("catalog_inferred_prefixes", f"WITH {S.values('known', ['k', 'prefix', 'ns'], [(k, *x) for k, x in enumerate(_KNOWN)])} SELECT DISTINCT prefix, ns FROM known JOIN supplier ON s_suppkey % {len(_KNOWN)} = k WHERE s_suppkey % 3 <> 0 AND prefix <> 'foaf'")
 def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G45"""
-    u = spark.createDataFrame([(G.KNOWN["skos"],), (G.KNOWN["prov"],), (G.KNOWN["foaf"],), (OWL,), ("http://other.example/",)], "ns string")
-    p = prefixes(spark).unionByName(spark.createDataFrame([("foaf", "http://taken.example/")], "prefix string, ns string"))
+    """Namespaces that suppliers use; one name is taken"""
+    used_ = F.element_at(F.array(*[F.lit(ns) for _, ns in _KNOWN]), (F.col("s_suppkey") % len(_KNOWN) + 1).cast("int"))
+    u = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(used_.alias("ns")).unionByName(spark.createDataFrame([(OWL,), ("http://other.example/",)], "ns string"))
+    p = prefixes(spark, sf_dir).unionByName(spark.createDataFrame([("foaf", "http://taken.example/")], "prefix string, ns string"))
     return G.inferred_prefixes(u, p)
 
 
@@ -152,40 +130,41 @@ def shapes_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("catalog_shape_prefix", "SELECT 'shape' AS prefix, 'declared_prefix' AS source, 'http://fixture.example/shapes/' AS ns, 'declared_prefix' AS ns_source")
 def shape_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G51, G52"""
-    ns = G.pick_shapes_namespace(prefixes(spark), X.BASE).select("ns", F.col("source").alias("ns_source"))
-    return G.pick_shape_prefix(prefixes(spark), "http://fixture.example/shapes/").crossJoin(ns)
+    ns = G.pick_shapes_namespace(prefixes(spark, sf_dir), X.BASE).select("ns", F.col("source").alias("ns_source"))
+    return G.pick_shape_prefix(prefixes(spark, sf_dir), "http://fixture.example/shapes/").crossJoin(ns)
 
 
 @query("catalog_prefix_block", f"WITH {PREFIXES_SQL}, e AS ({' UNION ALL '.join(f'SELECT {S.literal(p)} AS prefix, {S.literal(n)} AS ns' for p, n in G.ESSENTIAL.items())}), u AS (SELECT * FROM prefixes WHERE prefix <> '' UNION SELECT * FROM e) SELECT prefix, ns, CAST(row_number() OVER (ORDER BY prefix) AS INT) AS ord, '@prefix ' || prefix || ': <' || ns || '> .' AS line FROM u")
 def block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G53"""
     none = spark.createDataFrame([], "prefix string, ns string")
-    return G.prefix_block(prefixes(spark), none, X.BASE, "http://fixture.example/shapes/", "shape")
+    return G.prefix_block(prefixes(spark, sf_dir), none, X.BASE, "http://fixture.example/shapes/", "shape")
 
 
-@query("catalog_parsed_prefix_block", "SELECT * FROM (VALUES ('a', 'http://a/'), ('b-c', 'http://b#')) v(prefix, ns)")
+@query("catalog_parsed_prefix_block", "SELECT 's' || s_suppkey AS prefix, 'http://a/' || s_suppkey || '/' AS ns FROM supplier UNION ALL SELECT 'b-c', 'http://b#' FROM supplier")
 def parsed_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G54, G55"""
-    d = spark.createDataFrame([("@prefix a: <http://a/> .\n@prefix b-c:  <http://b#> .\nx",)], "b string")
+    """A block of each supplier"""
+    key = F.col("s_suppkey").cast("string")
+    d = table(spark, sf_dir, "supplier").select(F.concat(F.lit("@prefix s"), key, F.lit(": <http://a/"), key, F.lit("/> .\n@prefix b-c:  <http://b#> .\nx")).alias("b"))
     return d.select(F.explode(G.parse_prefix_block("b")).alias("p")).select("p.*")
 
 
-@query("catalog_search", f"WITH {X.TERMS_SQL} SELECT iri, label FROM terms WHERE type = 'property' AND contains(lower(label || ' ' || iri || ' ' || full_iri || ' ' || \"domain\" || ' ' || \"range\"), 'order')")
+@query("catalog_search", f"WITH {O.TERMS_SQL} SELECT iri, label FROM terms WHERE type = 'property' AND contains(lower(label || ' ' || iri || ' ' || full_iri || ' ' || \"domain\" || ' ' || \"range\"), 'order')")
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G59"""
-    return G.search_terms(X.terms(spark), "Order", ["property"]).select("iri", "label")
+    return G.search_terms(O.terms(spark, sf_dir), "Order", ["property"]).select("iri", "label")
 
 
-@query("catalog_client_coverage", f"WITH {X.TERMS_SQL} SELECT count_if(starts_with(full_iri, '{X.BASE}')) / count(*) AS coverage FROM terms")
+@query("catalog_client_coverage", f"WITH {O.TERMS_SQL} SELECT count_if(starts_with(full_iri, '{X.BASE}')) / count(*) AS coverage FROM terms")
 def client_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G60"""
-    return X.terms(spark).agg((F.count_if(F.col("full_iri").startswith(X.BASE)) / F.count("*")).alias("coverage"))
+    return O.terms(spark, sf_dir).agg((F.count_if(F.col("full_iri").startswith(X.BASE)) / F.count("*")).alias("coverage"))
 
 
 @query("catalog_describe", f"SELECT * FROM (VALUES ('<{RDF}type>', 'owl:Class'), ('rdfs:label', 'Part'), ('rdfs:subClassOf', 'fx:Thing')) v(p, o)")
 def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G37, G58"""
-    return G.describe(triples(spark), X.BASE + "Part", prefix_map())
+    return G.describe(triples(spark, sf_dir), X.BASE + "Part", prefix_map())
 
 
 _EDGES = "edges AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"
@@ -233,12 +212,12 @@ def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.list_members(cells, heads).select("head", F.array_join("members", " ").alias("members"), "valid")
 
 
-@query("closure_rdfs", f"WITH {TRIPLES_SQL}, i AS (SELECT 'p' || p_partkey AS s, 'Part' AS t FROM part UNION ALL SELECT 'c' || c_custkey, 'Customer' FROM customer), a AS (SELECT s, t FROM i UNION ALL SELECT s, CASE t WHEN 'Part' THEN 'Thing' ELSE 'Agent' END FROM i UNION ALL SELECT 'c' || o_custkey, x FROM orders, (VALUES ('Customer'), ('Agent')) v(x) UNION ALL SELECT 'o' || o_orderkey, x FROM orders, (VALUES ('Order'), ('Thing')) v(x)) SELECT t AS type, count(DISTINCT s) AS n FROM a GROUP BY t")
+@query("closure_rdfs", f"WITH {O.LITERAL_SQL}, i AS (SELECT 'p' || p_partkey AS s, 'Part' AS t FROM part UNION ALL SELECT 'c' || c_custkey, 'Customer' FROM customer), a AS (SELECT s, t FROM i UNION ALL SELECT s, CASE t WHEN 'Part' THEN 'Thing' ELSE 'Agent' END FROM i UNION ALL SELECT 'c' || o_custkey, x FROM orders, (VALUES ('Customer'), ('Agent')) v(x) UNION ALL SELECT 'o' || o_orderkey, x FROM orders, (VALUES ('Order'), ('Thing')) v(x)) SELECT t AS type, count(DISTINCT s) AS n FROM a GROUP BY t")
 def rdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, and what placing an order says of both ends"""
     inst = lambda t, a, k, c: table(spark, sf_dir, t).select(F.concat(F.lit(a), F.col(k).cast("string")).alias("s"), F.lit(RDF + "type").alias("p"), F.lit(X.BASE + c).alias("o"), F.lit("iri").alias("o_kind"))
     placed = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("s"), F.lit(X.BASE + "placesOrder").alias("p"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("o"), F.lit("iri").alias("o_kind"))
-    every = triples(spark).drop("s_kind").where(F.col("p") != RDF + "type").unionByName(inst("part", "p", "p_partkey", "Part")).unionByName(inst("customer", "c", "c_custkey", "Customer")).unionByName(placed)
+    every = O.schema_triples(spark).drop("s_kind").where(F.col("p") != RDF + "type").unionByName(inst("part", "p", "p_partkey", "Part")).unionByName(inst("customer", "c", "c_custkey", "Customer")).unionByName(placed)
     out = G.rdfs_closure(every).where("s rlike '^[pco][0-9]'")
     return out.groupBy(F.regexp_replace("type", "^.*#", "").alias("type")).agg(F.count("*").alias("n"))
 
@@ -399,11 +378,11 @@ def _terms(spark: SparkSession) -> DataFrame:
     return X.terms(spark).withColumn("full_iri", F.col("iri"))
 
 
-@query("grounding_catalog", f"WITH {X.TERMS_SQL} SELECT iri, 'class' AS role FROM terms WHERE type = 'class' UNION SELECT iri, 'property' FROM terms WHERE type = 'property' UNION SELECT iri, 'scoped' FROM terms WHERE type = 'property' AND \"domain\" IN ('fx:Customer', 'fx:partSize', 'fx:Part')")
+@query("grounding_catalog", f"WITH {O.TERMS_SQL} SELECT iri, 'class' AS role FROM terms WHERE type = 'class' UNION SELECT iri, 'property' FROM terms WHERE type = 'property' UNION SELECT iri, 'scoped' FROM terms WHERE type = 'property' AND \"domain\" IN ('fx:Customer', 'fx:partSize', 'fx:Part')")
 def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V04"""
     t = spark.createDataFrame([("fx:Customer",), ("fx:partSize",)], "iri string")
-    return D.grounding_catalog(_terms(spark), t)
+    return D.grounding_catalog(O.terms(spark, sf_dir).withColumn("full_iri", F.col("iri")), t)
 
 
 @query("grounding_errors", f"WITH {X.TERMS_SQL}, r AS (SELECT p_partkey AS doc_id, predicate, iri FROM part, (VALUES ('path', 'fx:partSize'), ('path', 'fx:Part'), ('class', 'fx:Order'), ('targetClass', 'fx:Nothing'), ('node', 'fx:shipDate'), ('class', 'xsd:string')) v(predicate, iri)) SELECT doc_id, predicate, iri FROM r WHERE (predicate = 'path' AND iri = 'fx:Part') OR iri = 'fx:Nothing'")

@@ -9,6 +9,7 @@ from graphloom.functions import text as T
 from graphloom.functions import values as V
 from graphloom.operators import grounding as G
 from graphloom.plans import fixtures as X
+from graphloom.plans import ontology
 from graphloom.plans import sql as S
 from graphloom.plans.registry import query, table
 
@@ -51,10 +52,10 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.rules(spark, sf_dir)
 
 
-@query("resolve_label_aliases", f"WITH {X.TERMS_SQL}, {ALIASES} SELECT term_ord, CAST(pos AS INT) AS pos, source, alias_norm, array_to_string(alias_tokens, ' ') AS alias_tokens FROM aliases")
+@query("resolve_label_aliases", f"WITH {ontology.TERMS_SQL}, {ALIASES} SELECT term_ord, CAST(pos AS INT) AS pos, source, alias_norm, array_to_string(alias_tokens, ' ') AS alias_tokens FROM aliases")
 def label_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R34"""
-    return G.aliases(X.terms(spark)).select("term_ord", "pos", "source", "alias_norm", F.array_join("alias_tokens", " ").alias("alias_tokens"))
+    return G.aliases(ontology.terms(spark, sf_dir)).select("term_ord", "pos", "source", "alias_norm", F.array_join("alias_tokens", " ").alias("alias_tokens"))
 
 
 @query("resolve_label_evidence", f"{_WITH} SELECT rule_id, term_ord, step, round(score, 9) AS score, reason FROM evidence")

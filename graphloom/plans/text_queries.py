@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.functions import values as V
 from graphloom.plans import fixtures as X
+from graphloom.plans import ontology as O
 from graphloom.plans import sql as S
 from graphloom.plans.registry import query, table
 
@@ -67,25 +68,25 @@ def local_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.local_name("url").alias("name"))
 
 
-@query("text_side_tokens", f"WITH {X.TERMS_SQL} SELECT id, array_to_string(list_sort({S.side('\"range\"')}), ' ') AS toks FROM terms")
+@query("text_side_tokens", f"WITH {O.TERMS_SQL} SELECT id, array_to_string(list_sort({S.side('\"range\"')}), ' ') AS toks FROM terms")
 def side_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R09"""
-    return X.terms(spark).select("id", F.array_join(F.array_sort(T.side_tokens("range")), " ").alias("toks"))
+    return O.terms(spark, sf_dir).select("id", F.array_join(F.array_sort(T.side_tokens("range")), " ").alias("toks"))
 
 
 _ENTITY = "trim(label || '. ' || kind || '. ' || note || CASE WHEN type = 'property' THEN '. domain ' || \"domain\" || ' range ' || \"range\" ELSE '' END)"
 
 
-@query("text_entities", f"WITH {X.TERMS_SQL} SELECT id, {_ENTITY} AS body FROM terms")
+@query("text_entities", f"WITH {O.TERMS_SQL} SELECT id, {_ENTITY} AS body FROM terms")
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R11"""
-    return X.terms(spark).select("id", T.entity_text("label", "kind", "note", "type", "domain", "range").alias("body"))
+    return O.terms(spark, sf_dir).select("id", T.entity_text("label", "kind", "note", "type", "domain", "range").alias("body"))
 
 
-@query("text_fingerprint", f"WITH {X.TERMS_SQL} SELECT sha1(string_agg(id || '|' || {_ENTITY}, '' ORDER BY id)) AS fingerprint FROM terms")
+@query("text_fingerprint", f"WITH {O.TERMS_SQL} SELECT sha1(string_agg(id || '|' || {_ENTITY}, '' ORDER BY id)) AS fingerprint FROM terms")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R12"""
-    return X.terms(spark).agg(T.fingerprint("id", T.entity_text("label", "kind", "note", "type", "domain", "range")).alias("fingerprint"))
+    return O.terms(spark, sf_dir).agg(T.fingerprint("id", T.entity_text("label", "kind", "note", "type", "domain", "range")).alias("fingerprint"))
 
 
 @query("text_rule_text", f"WITH {X.RULES_SQL} SELECT rule_id, 'Rule number: ' || number || chr(10) || 'Rule title: ' || title || chr(10) || 'Data constraint:' || chr(10) || text AS body FROM rules")

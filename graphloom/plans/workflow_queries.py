@@ -92,13 +92,13 @@ def predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shapes_namespace_guess", "SELECT 'http://fixture.example/shapes/' AS ns")
 def guessed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H22"""
-    return shapes.guessed_namespace(catalog_queries.prefixes(spark))
+    return shapes.guessed_namespace(catalog_queries.prefixes(spark, sf_dir))
 
 
 @query("shapes_bound_prefixes", f"WITH {catalog_queries.PREFIXES_SQL} SELECT 'fx' AS prefix, 'http://first/' AS ns UNION ALL SELECT prefix, ns FROM prefixes WHERE prefix <> 'fx'")
 def bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S05"""
-    return shapes.bound(spark.createDataFrame([("fx", "http://first/")], "prefix string, ns string"), catalog_queries.prefixes(spark))
+    return shapes.bound(spark.createDataFrame([("fx", "http://first/")], "prefix string, ns string"), catalog_queries.prefixes(spark, sf_dir))
 
 
 _REFS = [("focus_nodes", 0, "Part"), ("constraint_paths", 0, "fx:partSize"), ("constraint_paths", 1, "part size"), ("related_terms", 0, "fx:Part"), ("related_terms", 1, "http://other/x")]
@@ -128,10 +128,16 @@ def ontology_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.ontology_context(_roles(spark, sf_dir), X.terms(spark).select("iri", "note"))
 
 
-@query("grounding_allowed_terms", f"WITH {X.TERMS_SQL} SELECT 'Allowed ontology classes:' || chr(10) || string_agg(iri, ', ' ORDER BY iri) FILTER (type = 'class') || chr(10) || 'Allowed ontology properties for this target/domain:' || chr(10) || string_agg(iri, ', ' ORDER BY iri) FILTER (type = 'property' AND \"domain\" = 'fx:Customer') AS allowed FROM terms")
+_SHOWN = lambda c: f"array_to_string({c}[1:40], ', ') || CASE WHEN len({c}) > 40 THEN ' ... (' || (len({c}) - 40) || ' more)' ELSE '' END"
+
+
+@query(
+    "grounding_allowed_terms",
+    f"WITH {catalog_queries.O.TERMS_SQL}, a AS (SELECT list_sort(list(iri) FILTER (type = 'class')) AS c, list_sort(list(iri) FILTER (type = 'property' AND \"domain\" = 'fx:Customer')) AS p FROM terms) SELECT 'Allowed ontology classes:' || chr(10) || {_SHOWN('c')} || chr(10) || 'Allowed ontology properties for this target/domain:' || chr(10) || {_SHOWN('p')} AS allowed FROM a",
+)
 def allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V08"""
-    t = X.terms(spark).withColumn("full_iri", F.col("iri"))
+    t = catalog_queries.O.terms(spark, sf_dir).withColumn("full_iri", F.col("iri"))
     return shapes.allowed_terms(validation.grounding_catalog(t, spark.createDataFrame([("fx:Customer",)], "iri string")))
 
 
@@ -142,10 +148,10 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shapes.profile_metadata(p).select("doc_id", "profile_count", F.array_join("profile_names", "|").alias("names"), "validation_level")
 
 
-@query("public_terms", f"WITH {X.TERMS_SQL} SELECT id, iri, full_iri, label, \"domain\" AS d, \"range\" AS r, note AS ontology_note FROM terms")
+@query("public_terms", f"WITH {catalog_queries.O.TERMS_SQL} SELECT id, iri, full_iri, label, \"domain\" AS d, \"range\" AS r, note AS ontology_note FROM terms")
 def public_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms made public and taken back"""
-    t = O.internal_terms(O.public_terms(X.terms(spark)))
+    t = O.internal_terms(O.public_terms(catalog_queries.O.terms(spark, sf_dir)))
     return t.select("id", "iri", "full_iri", "label", F.col("domain").alias("d"), F.col("range").alias("r"), F.col("note").alias("ontology_note"))
 
 
