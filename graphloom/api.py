@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import responses
 from graphloom.functions import text as T
-from graphloom.operators import constraints, graph, grounding, validation
+from graphloom.operators import constraints, graph, grounding, shape_source, shapes, subtrees, validation, workflow
 from graphloom.sources import rdf, rules
 
 
@@ -137,29 +137,131 @@ class Engine:
     def validate(self, triples: DataFrame, types: DataFrame, params: DataFrame) -> DataFrame:
         return validation.validate(triples, types, params)
 
+    def _triples(self, name: str, content: str) -> DataFrame:
+        fmt = {"rdf": "xml", "owl": "xml", "xml": "xml"}.get(name.rsplit(".", 1)[-1].lower(), "turtle")
+        rdf.parse(content, fmt)
+        return rdf.read_documents(self.spark.createDataFrame([(name, content, fmt)], "doc_id string, content string, fmt string"), format_col="fmt")
+
+    def validate_document(self, content: str, profiles: list[tuple[str, str]], prefixes: str = "", inference: str = "rdfs") -> dict:
+        """V01-V03. A document of shapes against profiles (name, content), shapes themselves: one of four outcomes, as error_type.
+
+        parse: the document isn't Turtle. profile: a profile isn't, or its shapes ask for themselves. profile_error:
+        there are violations. none: there are none; warnings and infos don't count. Counts and results come with the last two.
+        """
+        names = [n for n, _ in profiles]
+        out = {"valid": False, "syntax_valid": None, "profile_valid": None, "profile_count": len(names), "profile_names": names}
+        if len(content.encode()) > self.settings.shape_mb << 20 or any(len(c.encode()) > self.settings.profile_mb << 20 for _, c in profiles):
+            raise GraphloomError("the document or a profile is too large", "payload_too_large", 413)
+        try:
+            data = graph.shared(self._triples("shape.ttl", f"{prefixes}\n{content}").drop("doc_id"), "document")
+        except rdf.RdfError as e:
+            return out | {"syntax_valid": False, "error_type": "parse", "error": str(e)}
+        try:
+            parts = [self._triples(n, c).drop("doc_id") for n, c in profiles]
+            params = shape_source.parameters(_union(parts)) if parts else self.spark.createDataFrame([], shape_source.PARAMS)
+            types = graph.rdfs_closure(data) if inference == "rdfs" else data.where(F.col("p") == graph.RDF + "type").select("s", F.col("o").alias("type"))
+            results = validation.validate(data, types, params)
+        except (rdf.RdfError, shape_source.PathCycleError, validation.ShapeRecursionError) as e:
+            return out | {"syntax_valid": True, "profile_valid": False, "error_type": "profile", "error": str(e)}
+        counts = validation.severity_counts(results).first().asDict()
+        good = counts["violation_count"] == 0
+        return out | counts | {"valid": good, "syntax_valid": True, "profile_valid": good, "error_type": "none" if good else "profile_error", "error": None, "results": results}
+
     def export(self, triples: DataFrame) -> DataFrame:
         """Sorted lines of N-Triples."""
         return rdf.to_ntriples(triples).select("line").distinct().orderBy("line")
 
+    def prepare_export(self, documents: list[tuple[str, str]], path: str | None = None, prefixes: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, int]]:
+        """S76, S77. Reviewed documents (name, Turtle) as one graph without repeats, with counts; written as Turtle to path, if given."""
+        if not documents or any(not c.strip() for _, c in documents):
+            raise GraphloomError("a reviewed shape document is empty")
+        try:
+            parts = [self._triples(n, c).drop("doc_id") for n, c in documents]
+        except rdf.RdfError as e:
+            raise GraphloomError(str(e), "shape_parse_error") from e
+        out, counts = subtrees.export(_union(parts))
+        if path:
+            subtrees.write_turtle(out, path, prefixes)
+        return out, counts | {"documents": len(documents)}
+
+    def generate(self, rules_: DataFrame, terms: DataFrame, make: Callable[[int, str], responses.Outcome], **signals) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """W01, W05. Resolve rules and build their shapes: resolutions, outcomes, and a summary."""
+        return workflow.run_batch(rules_, terms, make, **signals)
+
+    def generate_one(self, number: str, title: str, text: str, terms: DataFrame, make: Callable[[int, str], responses.Outcome], **signals) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """W06. A batch of one rule."""
+        if not (title.strip() or text.strip()):
+            raise GraphloomError("a rule has a title or a text")
+        return self.generate(self.spark.createDataFrame([(1, number, title, text)], "rule_id bigint, number string, title string, text string"), terms, make, **signals)
+
+    def generate_stream(self, rules_: DataFrame, terms: DataFrame, make: Callable[[int, str], responses.Outcome], sink: Callable[[DataFrame, int], None], checkpoint: str):
+        """W45. As generate, over a stream of rules."""
+        return workflow.run_stream(rules_, terms, make, sink, checkpoint)
+
+    def create_index(self, terms: DataFrame, key: str, embed: Callable, vectors: DataFrame | None = None, batch: int = 8) -> DataFrame:
+        """R60, R61. Vectors of the terms that have none under this key, by an injected embedder."""
+        todo = terms if vectors is None else grounding.pending_vectors(terms, vectors, key)
+        return grounding.embed_terms(todo, key, embed, batch)
+
+    def index_status(self, jobs: DataFrame, vectors: DataFrame, keys: DataFrame) -> DataFrame:
+        """R62."""
+        return grounding.index_status(jobs, vectors, keys)
+
+    def cancel_index(self, jobs: DataFrame, model: str | None = None, ontology_hash: str | None = None) -> DataFrame:
+        """R63."""
+        return grounding.cancelled(jobs, model, ontology_hash)
+
+    def baseline(self, triples: DataFrame, normalise: Callable, validate: Callable, candidates_of: Callable, edges_of: Callable, generate: Callable | None = None) -> tuple[DataFrame, bool]:
+        """S61. A baseline, from an injected service or as given, cut to what conforms."""
+        return shapes.build_baseline(triples, normalise, validate, candidates_of, edges_of, generate)
+
+    def check_model(self, call: Callable[[], object]) -> dict:
+        """W13."""
+        return workflow.check_model(call)
+
+    def capabilities(self) -> dict:
+        """A08. The operations, and the limits in force."""
+        return {"operations": sorted(ENDPOINTS), "limits": {k: v for k, v in vars(self.settings).items() if k != "extra"}, "providers": sorted(self.settings.extra.get("providers", []))}
+
+    def health(self) -> dict:
+        return {"status": "ok", "spark": self.spark.version}
+
     def provenance(self, operation: str, request: dict, outcomes: DataFrame) -> DataFrame:
         """W11, W12. One row: the operation, a hash of the request without its secrets, and distinct targets."""
         clean = repr(sorted((k, v) for k, v in request.items() if k.lower() not in T.SECRET_FIELDS))
         return outcomes.agg(F.lit(operation).alias("operation"), F.sha2(F.lit(clean), 256).alias("request_hash"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("targets")))).alias("targets"))
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 #: A01. Operation ids, and the methods that carry them out.
 ENDPOINTS = {
+    "system.capabilities": "capabilities",
+    "system.health": "health",
+    "workflows.rule.generate": "generate_one",
+    "workflows.batch.generate": "generate",
+    "batches.generate": "generate_stream",
     "ontology.parse": "parse_ontology",
-    "ontology.search": "search",
-    "ontology.rank": "rank",
+    "ontology.search": "rank",
+    "ontology.terms": "search",
+    "ontology.index.create": "create_index",
+    "ontology.index.get": "index_status",
+    "ontology.index.delete": "cancel_index",
     "rules.parse": "parse_rules",
     "rules.resolve-targets": "resolve",
     "shapes.build": "build_shapes",
     "shapes.consolidate": "consolidate",
     "shapes.merge": "merge",
     "shapes.normalize": "normalise",
-    "shapes.validate": "validate",
-    "shapes.prepare-export": "export",
+    "shapes.validate": "validate_document",
+    "shapes.prepare-export": "prepare_export",
+    "baselines.generate": "baseline",
+    "models.check": "check_model",
     "provenance.record": "provenance",
 }
 

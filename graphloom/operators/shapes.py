@@ -179,6 +179,25 @@ def ontology_context(terms_of: DataFrame, notes: DataFrame) -> DataFrame:
     return role_context(terms_of).join(g, "rule_id").select("rule_id", F.concat_ws("\n\n", "context", body).alias("context"))
 
 
+def described_context(terms_of: DataFrame, triples: DataFrame, prefixes: Column) -> DataFrame:
+    """R57, G57, G58. (rule_id, context): the role context, then what an ontology's triples say of each term, each once, in order.
+
+    A property is followed by its domains, and these by what is said of them. A section is a name and a line
+    for each of its triples, as prefixed names; a term of which nothing is said has its name alone.
+    """
+    line = F.concat_ws(" ", G.qname(F.col("p"), F.lit("iri"), prefixes), F.coalesce(G.qname(F.col("o"), F.col("o_kind"), prefixes), F.lit("[]")))
+    said = triples.groupBy(F.col("s").alias("full")).agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("said"))
+    cells = triples.where(F.col("p") == G.RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("first")).join(triples.where(F.col("p") == G.RDF + "rest").select(F.col("s").alias("cell"), F.col("o").alias("rest")), "cell")
+    domains = G.property_domains(triples, cells).groupBy(F.col("property").alias("full")).agg(F.array_sort(F.collect_set("domain")).alias("domains"))
+    own = terms_of.select("rule_id", "role", "pos", F.coalesce("term.full_iri", "term.iri").alias("full")).where("full is not null").join(domains, "full", "left")
+    order = F.struct("role", "pos")
+    sections = own.select("rule_id", order.alias("at"), F.lit(0).alias("nr"), "full", "domains").unionByName(own.select("rule_id", order.alias("at"), F.posexplode("domains").alias("k", "full")).select("rule_id", "at", (F.col("k") + 1).alias("nr"), "full", F.lit(None).cast("array<string>").alias("domains")))
+    body = F.concat_ws("\n", F.concat(F.lit("# "), "full"), "said", F.when(F.col("domains").isNotNull(), F.concat(F.lit("Domains: "), F.array_join("domains", ", "))))
+    rows = sections.join(said, "full", "left").groupBy("rule_id", "full").agg(F.min(F.struct("at", "nr")).alias("first"), F.min_by(body, F.struct("at", "nr")).alias("body"))
+    g = rows.groupBy("rule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "body"))), lambda x: x["body"]), "\n\n").alias("bodies"))
+    return role_context(terms_of).join(g, "rule_id", "left").select("rule_id", F.concat_ws("\n\n", "context", "bodies").alias("context"))
+
+
 def shape_prefix(bindings: list[tuple[str, str]], shape_ns: str, requested: str = "") -> tuple[str, str | None]:
     """G56. The prefix of shapes and the declaration to add, if any; a bad name or another binding is an error."""
     of = dict(bindings)
