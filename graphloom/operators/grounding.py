@@ -62,7 +62,7 @@ def aliases(terms: DataFrame) -> DataFrame:
 
 
 def prepared(rules: DataFrame) -> DataFrame:
-    """Rules with their normalised texts and distinct tokens, each computed once."""
+    """Rules with their normalised texts and distinct tokens; evidence() writes them, so that each is computed once."""
     whole = F.concat(T.text("title"), F.lit("\n"), T.text("text"))
     return rules.select(
         "rule_id",
@@ -98,15 +98,16 @@ def within(part: Column, whole: Column) -> Column:
 
 def evidence(rules: DataFrame, terms: DataFrame) -> DataFrame:
     """R35-R38. (rule_id, term_ord, step, score, reason): each alias's and each note's evidence, step in catalog order."""
-    ready = prepared(rules)
+    ready = G.shared(prepared(rules), "ready")
     rule_words = ready.select("rule_id", F.explode("rule_tokens").alias("tok"))
-    named = aliases(terms)
+    named = G.shared(aliases(terms), "aliases")
     alias_words = named.select("term_ord", "pos", F.explode(F.array_distinct("alias_tokens")).alias("tok"))
     shared = rule_words.join(alias_words, "tok").groupBy("rule_id", "term_ord", "pos").agg(F.array_sort(F.collect_list("tok")).alias("overlap"))
-    shared = shared.join(named, ["term_ord", "pos"]).join(ready, "rule_id")
-    phrase = T.contains_phrase("norm", "alias_norm")
     ratio = F.size("overlap") / F.size(F.array_distinct("alias_tokens"))
     overlaps = (F.size("alias_tokens") >= 2) & (ratio >= 0.67)
+    # a phrase that a rule holds shares all its tokens: texts are joined to what may be evidence alone
+    shared = shared.join(named, ["term_ord", "pos"]).where(overlaps | (ratio == 1)).join(ready, "rule_id")
+    phrase = T.contains_phrase("norm", "alias_norm")
     by_alias = shared.where(phrase | overlaps).select(
         "rule_id",
         "term_ord",
