@@ -390,7 +390,9 @@ def find_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Words are what white space (space, tab to carriage return) parts, A-Z lower-cased; from_word to
     to_word (exclusive) are of the document, ref_ of the earlier one, which is the first that holds some of
     the passage's seeds or the last before the document. A passage has min_words words and min_identity of
-    them equal, at least. All repeated words are in some passage; one whose words others cover isn't listed.
+    them equal, at least. One whose words others cover isn't listed. An occurrence is
+    compared with these two holders alone: a passage may be missed of which both, and all documents between
+    them, hold only fragments that are shorter than min_words.
     Rows with a null id, null and empty texts have no passages. Rows that repeat an id are one document if
     their texts are equal, and otherwise documents of their own, earlier or later by their texts' hashes,
     so that ref_id may equal doc_id; text_hash (xxhash64 of the text) is a further column then. Other
