@@ -93,4 +93,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op8_warc": warc.ORACLE,
     "op12_vector_codes": codebooks.ORACLE,
+    "op13_suffix_array_dedup": suffixes.ORACLE,
 }

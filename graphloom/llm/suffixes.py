@@ -380,3 +380,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return attached(rows, spans, "left").select("doc_id", "text", "held").mapInArrow(cut, RESULT)
+
+
+#: The query over `documents` as DuckDB SQL: every window by itself.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS y, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT y, doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT y, s, hash(b[s + 1 : s + 400]) AS k FROM (SELECT y, b, unnest(range(greatest(n - 399, 0))) AS s FROM h)),
+f AS (SELECT y, s FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT y, s, sum(fresh) OVER (PARTITION BY y ORDER BY s) AS run FROM (SELECT y, s, CASE WHEN s > lag(s) OVER (PARTITION BY y ORDER BY s) + 400 THEN 1 ELSE 0 END AS fresh FROM f)),
+r AS (SELECT y, min(s) AS a, max(s) + 400 AS z FROM g GROUP BY y, run),
+p AS (SELECT y, lag(z, 1, 0) OVER (PARTITION BY y ORDER BY a) AS x, a AS e FROM r UNION ALL SELECT y, max(z), NULL FROM r GROUP BY y),
+q AS (SELECT h.y, string_agg(hex(b[coalesce(x, 0) + 1 : coalesce(e, n)]), '' ORDER BY x) AS kept FROM h LEFT JOIN p ON p.y = h.y GROUP BY h.y),
+c AS (SELECT y, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY y)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM h JOIN q USING (y) LEFT JOIN c USING (y)"""
