@@ -63,6 +63,8 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s
 _RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _WORD = re.compile(r"\w+")
 _PARTS = re.compile(r"[a-z]+")
+#: Names that say what a region has or lacks, not what it is.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|not)[-_]\S*")
 _CJK = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 _RIGHTS = re.compile(r"\W{0,4}(?:©|\(c\)|copyright\b)(?:\W|\(c\)){0,4}\d{4}\b", re.IGNORECASE)
 #: Elements that hold one block's text; its siblings are those of the element around.
@@ -93,7 +95,7 @@ def _outside(tag: str, attributes: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    named = {x for m in _NAMED.finditer(attributes) for x in _PARTS.findall("".join(g for g in m.groups() if g).lower())}
+    named = {x for m in _NAMED.finditer(attributes) for x in _PARTS.findall(_ABOUT.sub("", "".join(g for g in m.groups() if g).lower()))}
     if tag in ("body", "html", "main", "article"):
         return tag == "article" and not named.isdisjoint({"comment", "comments", "reply", "teaser", "ad", "advert", "sponsored", "promo", "related"})
     return not named.isdisjoint(OUTSIDE - {"header"} if inside else OUTSIDE)

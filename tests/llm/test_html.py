@@ -34,6 +34,13 @@ def test_short_blocks_take_their_neighbours_label():
     assert html.main_text(page(body)) == f"{LONG}\n\nBetween.\n\n{ALSO}"
 
 
+def test_names_that_say_what_a_region_has():
+    for name in ("main-content with-sidebar", "has-sidebar", "post no-comments", "content without-footer wide"):
+        assert html.main_text(f"<div class='{name}'><p>{LONG}</p><p>{ALSO}</p></div>") == f"{LONG}\n\n{ALSO}"
+    for name in ("sidebar", "left-sidebar", "noticeboard notice"):
+        assert html.main_text(f"<p>{LONG}</p><div class='{name}'><p>{ALSO}</p></div>") == LONG
+
+
 def test_odd_markup():
     assert html.main_text(None) == html.main_text("") == html.main_text("<nav>x</nav>") == ""
     assert html.main_text(f"<p>{LONG}<p>a < b && c <3</p>") == f"{LONG}\n\na < b && c <3"
