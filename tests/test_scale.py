@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import graph as G
 from graphloom.operators import grounding as R
+from graphloom.plans import registered
 
 
 def plan(df):
@@ -83,3 +85,22 @@ def test_blocked_cosine(spark, monkeypatch):
         assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
         assert sorted((r.rule_id, r.term_ord, r["rank"]) for r in out.collect()) == plain(allowed)
     assert R.rank_semantic(queries.where("false"), vectors).count() == 0 and R.rank_semantic(queries, vectors.where("false")).count() == 0
+
+
+def broadcast_lines(df):
+    """The lines of a plan below its broadcasts."""
+    out, at = [], None
+    for line in plan(df).splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        at = None if at is not None and depth <= at else at
+        if at is not None:
+            out.append(line)
+        elif "BroadcastExchange" in line:
+            at = depth
+    return out
+
+
+@pytest.mark.parametrize("name", ["resolve_choice", "resolve_summary", "resolve_target_details", "roles_of_targets", "rank_lexical_properties", "rank_lexical_terms", "public_outcomes", "resolve_cascade", "resolve_choice_pool", "roles_primary_term"])
+def test_rules_are_never_broadcast(spark, sf_dir, name):
+    """Files of a few megabytes hold a million rules: what the planner takes for small would fill the driver."""
+    assert not [x for x in broadcast_lines(registered.QUERIES[name](spark, sf_dir)) if "rule_id#" in x or "p_partkey#" in x]
