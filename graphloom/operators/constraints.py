@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.functions import values as V
+from graphloom.operators import graph as G
+from graphloom.operators.grounding import looked_up
 
 # fixed values: what each predicate's conflicting values become
 HIGHER = ["minCount", "minInclusive", "minExclusive", "minLength"]
@@ -79,6 +81,14 @@ def dropped(shapes: DataFrame) -> DataFrame:
     return shapes.select("shape", why.alias("reason")).where("reason is not null")
 
 
+def distinct_values(constraints: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    """A row for each distinct value of a key and predicate, with its least ord, written.
+
+    This is a hash aggregation that begins map-side, so that aggregates over texts, which sort their rows, see distinct values alone.
+    """
+    return G.shared(constraints.groupBy(*keys, "predicate", "value", "kind", "dt", *more).agg(F.min("ord").alias("ord")), "values")
+
+
 def consolidate(constraints: DataFrame, keys: list[str]) -> DataFrame:
     """S10, S12. (keys, predicate, values, conflict): minima keep the greatest, maxima the least, some the first, others all.
 
@@ -87,6 +97,7 @@ def consolidate(constraints: DataFrame, keys: list[str]) -> DataFrame:
     """
     number = V.number_value("value")
     order = F.struct("ord", "value")
+    constraints = distinct_values(constraints, keys)
     g = constraints.withColumn("num", number).groupBy(*keys, "predicate").agg(
         F.count_if(F.col("num").isNull()).alias("bad"),
         F.max_by("value", F.struct("num", -F.col("ord"))).alias("high"),
@@ -111,7 +122,8 @@ def merge(constraints: DataFrame, keys: list[str]) -> DataFrame:
     """
     generated = F.col("source") == "generated"
     order = F.struct(F.when(generated, 0).otherwise(1).alias("r"), "ord", "value")
-    c = constraints.withColumn("num", V.number_value("value")).withColumn("spec", F.coalesce(of_map(F.col("value"), SPECIFICITY), F.lit(-1))).withColumn("order", order)
+    c = distinct_values(constraints, keys, "source", "members")
+    c = c.withColumn("num", V.number_value("value")).withColumn("spec", F.coalesce(of_map(F.col("value"), SPECIFICITY), F.lit(-1))).withColumn("order", order)
     has = lambda x: F.when(x, F.col("order"))
     g = c.groupBy(*keys, "predicate").agg(
         F.max_by("value", F.when(F.col("num").isNotNull(), F.struct("num", -F.col("order.r"), -F.col("ord")))).alias("high"),
@@ -182,11 +194,13 @@ def focused(constraints: DataFrame, roles: DataFrame) -> DataFrame:
     """
     paths = roles.where("role = 'path'").select("rule_id", F.col("iri").alias("path"))
     classes = roles.where("role <> 'path'").select("rule_id", F.col("iri").alias("target_class"))
-    on_path = constraints.where("path is not null").join(paths, "path")
-    owned = on_path.where("target_class is not null").join(classes, ["rule_id", "target_class"], "left_semi")
-    shells = constraints.where("path is null").join(classes, "target_class")
+    # a rule's paths and classes are paired first: a path alone meets far more rules than it has to
+    on_path = constraints.where("path is not null")
+    owned = on_path.where("target_class is not null").join(looked_up(paths.join(classes.distinct(), "rule_id"), "pairs"), ["path", "target_class"])
+    free = on_path.where("target_class is null").join(looked_up(paths, "paths"), "path")
+    shells = constraints.where("path is null").join(looked_up(classes, "classes"), "target_class")
     columns = ["rule_id", *constraints.columns]
-    return owned.select(columns).unionByName(on_path.where("target_class is null").select(columns)).unionByName(shells.select(columns))
+    return owned.select(columns).unionByName(free.select(columns)).unionByName(shells.select(columns))
 
 
 def normalise_literals(constraints: DataFrame) -> DataFrame:
@@ -208,7 +222,8 @@ def normalise(constraints: DataFrame, keys: list[str]) -> DataFrame:
     member of a conjunction.
     """
     d = V.decimal_value("value")
-    c = constraints.withColumn("num", d).withColumn("truth", V.boolean_value("value")).withColumn("sev", of_map(F.col("value"), SEVERITIES)).withColumn("mask", of_map(F.col("value"), NODE_KINDS))
+    c = distinct_values(constraints, keys, "members")
+    c = c.withColumn("num", d).withColumn("truth", V.boolean_value("value")).withColumn("sev", of_map(F.col("value"), SEVERITIES)).withColumn("mask", of_map(F.col("value"), NODE_KINDS))
     g = c.groupBy(*keys, "predicate").agg(
         F.count_distinct(identity()).alias("n"),
         F.count_if(F.col("num").isNull()).alias("bad_num"),

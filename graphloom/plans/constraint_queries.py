@@ -41,7 +41,8 @@ KEYS = "target_class, path, predicate"
 
 def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part gives a value of each predicate to its brand and type; even parts are generated ones."""
-    p = table(spark, sf_dir, "part")
+    # a file of few megabytes holds a million parts, and would be two tasks
+    p = table(spark, sf_dir, "part").repartition("p_partkey")
     row = lambda k, e, kind, dt, members: F.struct(F.lit(k).alias("predicate"), e.alias("value"), F.lit(kind).alias("kind"), F.lit(dt).cast("string").alias("dt"), members.alias("members"))
     none = F.lit(None).cast("array<string>")
     rows = [row(k, F.expr(e), kind, dt, none) for k, (e, kind, dt) in _SHAPES.items()] + [row("in", F.col("p_name"), "list", None, F.array_sort(F.split("p_name", " ")))]
