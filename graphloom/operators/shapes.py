@@ -12,6 +12,7 @@ from graphloom.functions import text as T
 from graphloom.functions import values as V
 from graphloom.operators import constraints as C
 from graphloom.operators import graph as G
+from graphloom.operators.grounding import looked_up
 
 ROLES = ["focus_nodes", "constraint_paths", "related_terms"]
 # fixed values: what a predicate of a shape must look like, as a table of constraints for validation
@@ -145,15 +146,18 @@ def hints(triples: DataFrame, limit: int = 12) -> DataFrame:
 def role_terms(roles: DataFrame, terms: DataFrame) -> DataFrame:
     """R55. (rule_id, role, pos, term) of references (rule_id, role, pos, ref): catalog rows, each term once a rule, in role order.
 
-    A reference that the catalog doesn't know stands for itself.
+    A reference that the catalog doesn't know stands for itself. References are dealt out by rule while they are
+    narrow; the catalog then comes to them, and what follows by rule needs no other shuffle.
     """
+    terms = G.shared(terms, "terms")
     names = terms.select("ord", F.explode(V.term_refs("id", "iri", "full_iri", "label")).alias("ref")).groupBy("ref").agg(F.max("ord").alias("ord"))
     fields = ["iri", "full_iri", "label", "type", "kind", "domain", "range"]
     known = terms.select("ord", F.struct(*fields).alias("term"))
     ref = F.trim(T.text("ref"))
     own = F.struct(ref.alias("iri"), ref.alias("full_iri"), *[F.lit(None).cast("string").alias(f) for f in fields[2:]])
     rank = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role"))
-    rows = roles.where(ref != "").join(names, "ref", "left").join(known, "ord", "left").withColumn("term", F.coalesce("term", own))
+    own_refs = roles.where(ref != "").repartition("rule_id")
+    rows = own_refs.join(looked_up(names, "names"), "ref", "left").join(looked_up(known, "known"), "ord", "left").withColumn("term", F.coalesce("term", own))
     key = V.term_key("term.full_iri", "term.iri", F.lit(""))
     first = rows.groupBy("rule_id", key.alias("key")).agg(F.min_by(F.struct("role", "pos", "term"), F.struct(rank.alias("r"), "pos")).alias("x"))
     return first.select("rule_id", "x.role", "x.pos", "x.term")

@@ -104,3 +104,20 @@ def broadcast_lines(df):
 def test_rules_are_never_broadcast(spark, sf_dir, name):
     """Files of a few megabytes hold a million rules: what the planner takes for small would fill the driver."""
     assert not [x for x in broadcast_lines(registered.QUERIES[name](spark, sf_dir)) if "rule_id#" in x or "p_partkey#" in x]
+
+
+@pytest.mark.parametrize("name", ["consolidate_values", "merge_restrictive", "normalize_parameters"])
+def test_texts_are_aggregated_over_distinct_values(spark, sf_dir, name):
+    """Aggregates that sort their rows read the written distinct values, not every row of the source."""
+    assert "part.parquet" not in plan(registered.QUERIES[name](spark, sf_dir))
+
+
+def test_focused_constraints_meet_paths_and_classes_at_once(spark, sf_dir):
+    joins = [x for x in plan(registered.QUERIES["merge_focused_evidence"](spark, sf_dir)).splitlines() if "Join" in x]
+    assert [x for x in joins if "path#" in x and "target_class#" in x] and not [x for x in joins if "rule_id#" in x]
+
+
+@pytest.mark.parametrize("name", ["roles_terms", "roles_context", "roles_ontology_context"])
+def test_references_are_not_shuffled_by_name(spark, sf_dir, name):
+    """A few names stand in all rules: by name they would be a few tasks."""
+    assert "hashpartitioning(ref#" not in plan(registered.QUERIES[name](spark, sf_dir))
