@@ -216,3 +216,54 @@ def test_closure_of_a_branching_graph(spark):
     rows = out.selectExpr("count(*) as n", "count(distinct node) as d", "max(depth) as deep").first()
     assert (rows.n, rows.d, rows.deep) == (4095, 4095, 11)
     assert "Union" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deterministic_automata():
+    """Walks of the deterministic automaton are those of the path; states that walks of several lengths reach are told."""
+    rng = random.Random(3)
+    for _ in range(200):
+        path = P.write(random_path(rng, 3))
+        one, two = P.automaton(path), P.deterministic(path)
+        assert one[0] == two[0] and len({m[:3] for m in two[1]}) == len(two[1])
+        for _ in range(30):
+            word = [(rng.choice("abc"), rng.random() < 0.3) for _ in range(rng.randrange(1, 5))]
+            ends = []
+            for _, moves in (one, two):
+                at, end = {0}, False
+                for p, back in word:
+                    took = [m for m in moves if m[0] in at and m[1:3] == (p, back)]
+                    at, end = {m[3] for m in took}, any(m[4] for m in took)
+                ends.append(end)
+            assert ends[0] == ends[1]
+        lengths, at = {}, {0}
+        for length in range(1, 40):
+            at = {m[3] for m in two[1] if m[0] in at}
+            for x in at:
+                lengths.setdefault(x, set()).add(length)
+        assert P.revisited(two[1]) == {x for x, n in lengths.items() if len(n) > 1}
+
+
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_counts_against_plain(spark, monkeypatch, small):
+    """Places that several starts share are walked once; what a start is itself counts once, on a cycle and off it."""
+    monkeypatch.setattr(P, "SMALL", small)
+    rng = random.Random(4)
+    rows = sorted({(f"n{i}", "a", f"n{i // 3}") for i in range(27)} | {(f"n{rng.randrange(27)}", rng.choice("bc"), f"n{rng.randrange(27)}") for _ in range(20)})
+    paths = ["<a>*", "<a>+", "(<a>/<b>?)*", "((<a>/<a>)|<a>)", "(<a>/^<a>)*", "(<a>/^<a>)", "^<a>", "(<b>|<c>)+", "<a>?", "<d>*", "(^<a>/<a>)+"]
+    starts = [(k, p, f"n{i}", f"n{i}", "iri", None, None) for k, p in enumerate(paths) for i in range(30)]
+    df = spark.createDataFrame(starts, "shape int, path string, focus string, value string, kind string, dt string, lang string")
+    want = {(k, p, f"n{i}"): plain_reach(P.parse(p), f"n{i}", rows) for k, p in enumerate(paths) for i in range(30)}
+    got = P.counted(df, facts(spark, rows)).collect()
+    assert len(got) == len(want) and {(r.shape, r.path, r.focus): r.n for r in got} == {k: len(v) for k, v in want.items()}
+    nodes = P.Walk(df, facts(spark, rows)).nodes().collect()
+    assert sorted((r.shape, r.path, r.focus, r.value) for r in nodes) == sorted((*k, x) for k, v in want.items() for x in v)
+
+
+def test_shared_places_are_walked_once(spark, monkeypatch):
+    """60 starts lead to one place: a row of theirs each is all that is written of them, and one walk."""
+    monkeypatch.setattr(P, "SMALL", 0)
+    rows = [(f"s{i}", "up", "top") for i in range(60)] + [("top", "up", "root")] + [(f"t{i}", "at", "top") for i in range(50)]
+    df = spark.createDataFrame([(p, f"s{i}", f"s{i}", "iri", None, None) for p in ("(<up>/<up>)", "(<up>/^<at>)") for i in range(60)], "path string, focus string, value string, kind string, dt string, lang string")
+    walk = P.Walk(df, facts(spark, rows))
+    assert walk.walked.select("path", "key").distinct().count() == 2 and walk.walked.count() == 51
+    assert {r.n: r.k for r in walk.counts().groupBy("n").agg(F.count("*").alias("k")).collect()} == {1: 60, 50: 60}
