@@ -267,3 +267,13 @@ def test_shared_places_are_walked_once(spark, monkeypatch):
     walk = P.Walk(df, facts(spark, rows))
     assert walk.walked.select("path", "key").distinct().count() == 2 and walk.walked.count() == 51
     assert {r.n: r.k for r in walk.counts().groupBy("n").agg(F.count("*").alias("k")).collect()} == {1: 60, 50: 60}
+
+
+def test_triples_are_filtered_before_they_are_shuffled(spark):
+    """Only predicates that shapes ask for are joined; a count along a path is no row a value node."""
+    rows = [(f"s{i}", "p", "=1") for i in range(4)] + [(f"s{i}", "other", f"s{i}") for i in range(4)]
+    few = spark.createDataFrame([("p",)], "p string")
+    out = P.only(facts(spark, rows), few)
+    assert out.count() == 4 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    params = spark.createDataFrame([("S", None, "s1", "<p>+", "minCount", "1", None, "v"), ("S", None, "s1", "(<p>|<q>)", "minCount", "1", None, "v"), ("S", None, "s1", "(<p>|<q>)", "in", None, ["1"], "v")], PARAM)
+    assert [(r.shape, r.path) for r in D.counted_paths(params).collect()] == [("S", "<p>+")]
