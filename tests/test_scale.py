@@ -121,3 +121,9 @@ def test_focused_constraints_meet_paths_and_classes_at_once(spark, sf_dir):
 def test_references_are_not_shuffled_by_name(spark, sf_dir, name):
     """A few names stand in all rules: by name they would be a few tasks."""
     assert "hashpartitioning(ref#" not in plan(registered.QUERIES[name](spark, sf_dir))
+
+
+def test_schema_is_looked_up(spark, sf_dir):
+    """One predicate stands in most triples: by predicate or type they would be one task."""
+    text = plan(registered.QUERIES["closure_rdfs"](spark, sf_dir))
+    assert "SortMergeJoin" not in text and "hashpartitioning(p#" not in text
