@@ -19,6 +19,8 @@ from graphloom.functions.text import text
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 TRIPLE = "doc_id string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
+#: Rows that a parser gathers of small documents before it hands them on.
+BATCH = 10_000
 _LINE = r"^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:[^\s.]+|\"(?:[^\"\\]|\\.)*\")(?:@([A-Za-z0-9-]+)|\^\^<([^>]*)>)?\s*(?:<[^>]*>\s*)?\.\s*(?:#.*)?$"
 #: The pieces of an escaped text: an escape, or what stands between two.
 _PIECES = r"\\\\u[0-9A-Fa-f]{4}|\\\\U[0-9A-Fa-f]{8}|\\\\.|[^\\\\]+"
@@ -388,6 +390,7 @@ def read_documents(docs: DataFrame, doc_col: str = "doc_id", content_col: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = TRIPLE.replace(" string", "").split(", ")
+        held: list[tuple] = []
         for b in batches:
             for doc, content, f in zip(b["doc_id"], b["content"], b["fmt"], strict=True):
                 try:
@@ -395,8 +398,12 @@ def read_documents(docs: DataFrame, doc_col: str = "doc_id", content_col: str =
                 except RdfError as e:
                     raise RdfError(f"{doc}: {e}") from e
                 blank = lambda x, kind: f"{doc}:{x}" if kind == "bnode" else x  # noqa: B023, E731
-                out = {(doc, blank(s, sk), sk, p, blank(o, ok), ok, dt, lang): None for s, sk, p, o, ok, dt, lang in rows}
-                yield pd.DataFrame(list(out), columns=names)
+                held += dict.fromkeys((doc, blank(s, sk), sk, p, blank(o, ok), ok, dt, lang) for s, sk, p, o, ok, dt, lang in rows)
+                if len(held) >= BATCH:
+                    yield pd.DataFrame(held, columns=names)
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
     rows = docs.select(F.col(doc_col).cast("string").alias("doc_id"), F.col(content_col).alias("content"), fmt.alias("fmt"))
     return rows.mapInPandas(run, TRIPLE)
@@ -407,10 +414,15 @@ def read_prefixes(docs: DataFrame, doc_col: str = "doc_id", content_col: str = "
     fmt = F.col(format_col) if format_col else F.lit("turtle")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
         for b in batches:
             for doc, content, f in zip(b["doc_id"], b["content"], b["fmt"], strict=True):
-                p = parse(content, f)[1]
-                yield pd.DataFrame({"doc_id": [doc] * len(p), "prefix": list(p), "ns": list(p.values())})
+                held += [(doc, *declared) for declared in parse(content, f)[1].items()]
+                if len(held) >= BATCH:
+                    yield pd.DataFrame(held, columns=["doc_id", "prefix", "ns"])
+                    held = []
+        if held:
+            yield pd.DataFrame(held, columns=["doc_id", "prefix", "ns"])
 
     rows = docs.select(F.col(doc_col).cast("string").alias("doc_id"), F.col(content_col).alias("content"), fmt.alias("fmt"))
     return rows.mapInPandas(run, "doc_id string, prefix string, ns string")

@@ -119,3 +119,28 @@ def test_long_lists(spark):
     got = {r["head"]: (r.members, r.valid) for r in G.list_members(cells, heads).collect()}
     assert got["c0"] == ([str(i) for i in range(n)], True) and got["c2990"] == ([str(i) for i in range(2990, n)], True)
     assert not got["r0"][1] and not got["o"][1] and got[G.RDF + "nil"] == ([], True)
+
+
+def test_small_documents_share_batches(spark, monkeypatch):
+    """Rows of many small documents are handed on together, and a batch in between doesn't lose or repeat any."""
+    made, frame = [], rdf.pd.DataFrame
+    docs = [(f"d{k}", f"@prefix x: <http://x/> .\nx:a{k} x:b [ x:c {k} ] .\nx:a{k} x:b x:d .\nx:a{k} x:b x:d .") for k in range(50)]
+
+    class Rows:
+        def mapInPandas(self, run, schema):
+            self.run = run
+            return self
+
+        def select(self, *columns):
+            return self
+
+    for read, each in ((rdf.read_documents, 3), (rdf.read_prefixes, 1)):
+        for batch in (10_000, 7):
+            monkeypatch.setattr(rdf, "BATCH", batch)
+            given = frame([(d, c, "turtle") for d, c in docs], columns=["doc_id", "content", "fmt"])
+            got = list(read(Rows()).run(iter([given[:20], given[20:20], given[20:]])))
+            made.append(len(got))
+            rows = [r for g in got for r in g.itertuples(index=False)]
+            assert len(rows) == len(set(rows)) == 50 * each
+            assert [r.doc_id for r in rows] == [d for d, _ in docs for _ in range(each)]
+    assert made[0] == made[2] == 1 and made[1] > 1 and made[3] > 1
