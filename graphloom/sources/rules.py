@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from graphloom.functions.text import col, text
 
 HEADING = r"(?im)^\s*##\s+Rule\s*$"
 BODY = r"(?im)^\s*###\s+(?:Data constraint|Business rule)\s*$"
+#: HTML documents that are decoded, parsed and handed on at once, however many a batch holds.
+PAGES = 64
 RULE = "doc_id string, ord int, number string, title string, text string, source_format string"
 
 
@@ -64,8 +66,8 @@ def join_paragraphs(paragraphs: Column | str, whole: Column | str) -> Column:
 
 
 class _Node:
-    def __init__(self, tag: str, classes: set[str], parent: _Node | None):
-        self.tag, self.classes, self.parent, self.children = tag, classes, parent, []
+    def __init__(self, tag: str, classes: set[str]):
+        self.tag, self.classes, self.children = tag, classes, []
 
     def find(self, test) -> Iterator[_Node]:
         for c in self.children:
@@ -87,25 +89,24 @@ class _Tree(HTMLParser):
 
     def __init__(self, content: str):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = _Node("", set(), None)
+        self.root = _Node("", set())
+        self.open = [self.root]  # no node refers to its parent, so that a tree goes without a cycle
         self.feed(content)
         self.close()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        n = _Node(tag, set((dict(attrs).get("class") or "").split()), self.at)
-        self.at.children.append(n)
+        n = _Node(tag, set((dict(attrs).get("class") or "").split()))
+        self.open[-1].children.append(n)
         if tag not in self.VOID:
-            self.at = n
+            self.open.append(n)
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
-        while n is not None and n.tag != tag:
-            n = n.parent
-        if n is not None and n.parent is not None:
-            self.at = n.parent
+        at = next((k for k in range(len(self.open) - 1, 0, -1) if self.open[k].tag == tag), 0)
+        if at:
+            del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.open[-1].children.append(data)
 
 
 def html_rules(content: str, section: str = "section", classes: tuple[str, ...] = ("rule",)) -> list[tuple[str, str, str]]:
@@ -126,12 +127,15 @@ def html_rules(content: str, section: str = "section", classes: tuple[str, ...]
 def parse_html(docs: DataFrame, doc_col: str = "doc_id", content_col: str = "content", section: str = "section", classes: tuple[str, ...] = ("rule",)) -> DataFrame:
     """G09-G11. RULE rows of HTML documents."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(d, k, *r, "html") for d, c in zip(b["doc_id"], b["content"], strict=True) for k, r in enumerate(html_rules(c, section, classes), 1)]
-            yield pd.DataFrame(rows, columns=["doc_id", "ord", "number", "title", "text", "source_format"])
+            for at in range(0, b.num_rows, PAGES):
+                doc, content = (b.slice(at, PAGES).column(c).to_pylist() for c in ("doc_id", "content"))
+                rows = [(d, k, *r, "html") for d, c in zip(doc, content, strict=True) for k, r in enumerate(html_rules(c, section, classes), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(column, f.type) for column, f in zip(zip(*rows, strict=True) if rows else [()] * len(out), out, strict=True)], schema=out)
 
-    return docs.select(F.col(doc_col).cast("string").alias("doc_id"), F.col(content_col).alias("content")).mapInPandas(run, RULE)
+    out = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in map(str.split, RULE.split(", "))])
+    return docs.select(F.col(doc_col).cast("string").alias("doc_id"), F.col(content_col).alias("content")).mapInArrow(run, RULE)
 
 
 def parse_rules(docs: DataFrame) -> DataFrame:

@@ -144,3 +144,37 @@ def test_small_documents_share_batches(spark, monkeypatch):
             assert len(rows) == len(set(rows)) == 50 * each
             assert [r.doc_id for r in rows] == [d for d, _ in docs for _ in range(each)]
     assert made[0] == made[2] == 1 and made[1] > 1 and made[3] > 1
+
+
+def test_html_documents_are_parsed_in_slices(monkeypatch):
+    """A batch of many pages is handed on in slices, and a parsed tree goes without the garbage collector."""
+    import gc
+    import weakref
+
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    class Any:
+        def __getattr__(self, name):
+            return lambda *a: Any()
+
+    monkeypatch.setattr(rules, "F", Any())
+    page = lambda k: f"<body><article><p>one {k}<br>more</b></p><p>two</article><article class=x></article></article>tail"
+    pages = rules.pa.RecordBatch.from_pydict({"doc_id": [str(k) for k in range(200)], "content": [page(k) if k % 3 else None for k in range(200)]})
+    got = list(rules.parse_html(Docs(), section="article", classes=()).run(iter([pages, pages.slice(0, 0)])))
+    assert max(b.num_rows for b in got) <= 2 * rules.PAGES < 200
+    want = [(str(k), i, text) for k in range(200) if k % 3 for i, text in ((1, f"one {k} more\n\ntwo"), (2, ""))]
+    assert [(r["doc_id"], r["ord"], r["text"]) for b in got for r in b.to_pylist()] == want
+    gc.disable()
+    try:
+        tree = rules._Tree(page(1))
+        root = weakref.ref(tree.root.children[0])
+        del tree
+        assert root() is None
+    finally:
+        gc.enable()
