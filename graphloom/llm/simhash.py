@@ -8,7 +8,7 @@ budget is left. What a root finds is kept as a spanning forest, never as all pai
 
 Near copies by the similarity of their shingles (without_near_copies) differ in far more bits than blocks can
 bear. Their sketches have 256 bits, many tries are rooted at bits drawn at random, and the shingles of each
-link of the forests are compared.
+link of the forests are compared; where one fails, the pairs that a forest left out are looked for again.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm._shared import connected_components, drop, frames, groups, materialize
@@ -294,18 +294,58 @@ def _small_links(run: np.ndarray, keys: np.ndarray, budget: int) -> list[tuple[i
     return links
 
 
-_WORDS = [f"s{k}" for k in range(WIDE)]
+def wide_pairs(keys: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray | None, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of left and right (right None: left with itself) within budget bits whose labels differ, some at a time.
 
+    keys: rows of 64-bit words in lexical order, repeats included; walked as by wide_trie_join.
+    """
+    stack = [(left, left if right is None else right, right is None)]
+    while stack:
+        a, b, same = stack.pop()
+        if not len(a) or not len(b) or same and len(a) == 1:
+            continue
+        la, lb = label[a], label[b]
+        if (la == la[0]).all() and (lb == la[0]).all():
+            continue
+        x, y = keys[a[0]], keys[b[0]]
+        vary = np.bitwise_or.reduce(keys[a] ^ x) | np.bitwise_or.reduce(keys[b] ^ y)
+        if len(a) * len(b) <= LEAF or not vary.any():
+            step = max(1, LEAF // len(b))
+            for at in range(0, len(a), step):
+                some = a[at : at + step]
+                near = np.bitwise_count(keys[some][:, None] ^ keys[b][None]).sum(2, dtype=np.int64) <= budget
+                near &= label[some][:, None] != lb[None]
+                if same:
+                    near &= some[:, None] < b[None]
+                i, j = np.nonzero(near)
+                if len(i):
+                    yield some[i], b[j]
+            continue
+        if int(np.bitwise_count((x ^ y) & ~vary).sum()) > budget:
+            continue
+        word = int(np.flatnonzero(vary)[0])
+        bit = np.uint64(1 << (int(vary[word]).bit_length() - 1))
+        one_a, one_b = keys[a, word] & bit != 0, keys[b, word] & bit != 0
+        a0, a1, b0, b1 = a[~one_a], a[one_a], b[~one_b], b[one_b]
+        stack.append((a0, b1, False))
+        if not same:
+            stack.append((a1, b0, False))
+        stack.append((a0, b0, same))
+        stack.append((a1, b1, same))
 
-def similar_links(nodes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
-    """(u, v) bigint: candidate links between nodes (node, s0..): spanning forests of pairs within budget bits below ROOTS roots.
 
-    A root is ROOT_BITS bits of the sketch drawn at random. A root with many nodes is dealt out as pairs of
-    its parts, so that no task holds more than two parts of about PART nodes.
-    """
-    spark = nodes.sparkSession
+_WORDS = [f"s{k}" for k in range(WIDE)]
+
+
+def _drawn() -> np.ndarray:
+    """The bits of each root, the highest bit of a sketch's first word being 0."""
     rng = np.random.default_rng(20)
-    drawn = np.stack([rng.choice(64 * WIDE, ROOT_BITS, replace=False) for _ in range(ROOTS)])
+    return np.stack([rng.choice(64 * WIDE, ROOT_BITS, replace=False) for _ in range(ROOTS)])
+
+
+def _dealt(nodes: DataFrame, *more: str) -> DataFrame:
+    """Nodes below each of their roots: (root, i, j, part, node, s0.., more), sorted by root and pair of parts."""
+    drawn = _drawn()
 
     def root(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -315,20 +355,27 @@ def similar_links(nodes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
                 bits = np.unpackbits(np.ascontiguousarray(wide, ">i8").view(np.uint8), axis=1)
                 for t in range(ROOTS):
                     own = bits[:, drawn[t]].astype(np.int64) @ (1 << np.arange(ROOT_BITS)) | (t << ROOT_BITS)
-                    yield b.assign(root=own)[["root", "node", *_WORDS]]
+                    yield b.assign(root=own)[["root", "node", *_WORDS, *more]]
 
-    schema = "root bigint, node bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)
-    rooted = frames(nodes.select("node", *_WORDS), root, schema)
+    schema = ", ".join(f"{c} bigint" for c in ("root", "node", *_WORDS, *more))
+    rooted = frames(nodes.select("node", *_WORDS, *more), root, schema)
     hot = rooted.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     hot = materialize(hot.select("root", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "hot")
     small = hot.count() <= 100_000  # 12 bytes a row
     held = rooted.join(F.broadcast(hot) if small else hot, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j"))))
-    dealt = held.withColumn("part", part).withColumn("p", pair).select("root", "p.i", "p.j", "part", "node", *_WORDS)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    dealt = held.withColumn("part", part).withColumn("p", pair).select("root", "p.i", "p.j", "part", "node", *_WORDS, *more)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+
 
+def similar_links(nodes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
+    """(u, v) bigint: candidate links between nodes (node, s0..): spanning forests of pairs within budget bits below ROOTS roots.
+
+    A root is ROOT_BITS bits of the sketch drawn at random. A root with many nodes is dealt out as pairs of
+    its parts, so that no task holds more than two parts of about PART nodes.
+    """
     def large(g: pd.DataFrame) -> list[tuple[int, int]]:
         i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
         raw = g[_WORDS].to_numpy(np.int64).view(np.uint64)
@@ -371,7 +418,35 @@ def similar_links(nodes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
         if held:
             yield from some(pd.concat(held, ignore_index=True))
 
-    return frames(dealt, run, "u bigint, v bigint").distinct()
+    return frames(_dealt(nodes), run, "u bigint, v bigint").distinct()
+
+
+def unlinked_pairs(nodes: DataFrame, budget: int = WIDE_BUDGET) -> DataFrame:
+    """(u, v, d) bigint: all pairs of nodes (node, s0.., label) within budget bits below a common root whose labels differ; d: their bits.
+
+    Each pair comes once, from the first root that it shares.
+    """
+    masks = np.zeros((ROOTS, WIDE), np.uint64)
+    for t, bits in enumerate(_drawn()):
+        np.bitwise_or.at(masks[t], bits // 64, np.uint64(1) << (63 - bits % 64).astype(np.uint64))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["root", "i", "j"]):
+            label = g["label"].to_numpy(np.int64)
+            if len(g) < 2 or (label == label[0]).all():
+                continue
+            keys = g[_WORDS].to_numpy(np.int64).view(np.uint64)
+            order = np.lexsort(keys.T[::-1])
+            keys, label, node, part = keys[order], label[order], g["node"].to_numpy(np.int64)[order], g["part"].to_numpy(np.int64)[order]
+            i, j, t = int(g["i"].iloc[0]), int(g["j"].iloc[0]), int(g["root"].iloc[0]) >> ROOT_BITS
+            for a, b in wide_pairs(keys, label, np.flatnonzero(part == i), None if i == j else np.flatnonzero(part == j), budget):
+                apart = keys[a] ^ keys[b]
+                first = ~((apart[:, None] & masks[None, :t]) == 0).all(2).any(1)
+                u, v = node[a[first]], node[b[first]]
+                if len(u):
+                    yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v), "d": np.bitwise_count(apart[first]).sum(1, dtype=np.int64)})
+
+    return frames(_dealt(nodes, "label"), run, "u bigint, v bigint, d bigint")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -393,12 +468,40 @@ def _verified(links: DataFrame, texts: DataFrame, words_per_shingle: int, at_lea
     return frames(both, run, "u bigint, v bigint")
 
 
+def verified_links(nodes: DataFrame, texts: DataFrame, words_per_shingle: int, at_least: float, links: DataFrame) -> DataFrame:
+    """(u, v): those of links that hold, and as many of the pairs that the forests left out as it takes to join all that hold.
+
+    A forest spans the pairs below a root, but a link of it may fail. What links join, though links that hold don't,
+    is therefore looked through again: of all its pairs within the budget the nearest ones of each two classes
+    are verified, then more and more of them, until no pair of two classes is left unverified.
+    """
+    good = materialize(_verified(links, texts, words_per_shingle, at_least), "verified")
+    if good.count() == links.count():
+        return good
+    label = lambda of, name: connected_components(of).select("node", F.col("component").alias(name))
+    both = label(links, "wide").join(label(good, "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    both = materialize(both, "classes")
+    torn = both.groupBy("wide").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("wide")
+    again = nodes.select("node", *_WORDS).join(both.join(torn, "wide", "left_semi").select("node", "label"), "node")
+    left, many = materialize(unlinked_pairs(again).join(links, ["u", "v"], "left_anti"), "left-out"), 8
+    while not left.isEmpty():
+        of = label(good, "label")
+        ends = left.join(of.select(F.col("node").alias("u"), F.col("label").alias("x")), "u", "left").join(of.select(F.col("node").alias("v"), F.col("label").alias("y")), "v", "left")
+        x, y = F.coalesce("x", "u"), F.coalesce("y", "v")
+        ends = ends.select("u", "v", "d", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x <> y")
+        near = materialize(ends.withColumn("nr", F.row_number().over(Window.partitionBy("x", "y").orderBy("d", "u", "v"))).drop("x", "y"), "nearest")
+        good = materialize(good.unionByName(_verified(near.where(F.col("nr") <= many).select("u", "v"), texts, words_per_shingle, at_least)), "verified")
+        left, many = near.where(F.col("nr") > many).drop("nr"), 16 * many
+    return good
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, at_least: float = 0.8) -> DataFrame:
     """One row of docs for each group of near copies, with all its columns: that with the smallest id.
 
     Two texts are linked if the sets of their shingles have a Jaccard similarity of at_least or more; a group
     is what links reach. Texts with the same shingles are one node. Candidates are those of similar_links,
-    made for 0.8 and more; each is verified on whole texts, so that no link is false. A row is told by its
+    made for 0.8 and more; each is verified on whole texts, so that no link is false, and where some fail the pairs
+    that they stood for are verified too (see verified_links). A row is told by its
     id and its text's hash: of rows that repeat an id with other texts only the copies go, and of rows equal
     in both one stays, whichever. Null ids come after all others, so that a row with one stays only where
     its group has no id; of several rows with the least id, or with null ids alone, that with the least hash
@@ -423,7 +526,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = nodes.select("node", "h").join(ends, "node")
     texts = docs.select(F.xxhash64(text_col).alias("h"), text_of).join(asked, "h").groupBy("node").agg(F.min("text").alias("text"))
     texts = materialize(texts, "texts")
-    parts = connected_components(_verified(links, texts, words_per_shingle, at_least))
+    parts = connected_components(verified_links(nodes, texts, words_per_shingle, at_least, links))
     drop(texts)
     order = F.struct(F.col("k").isNull().alias("last"), F.col("k"), F.col("h"))
     of_fp = fps.groupBy("node").agg(F.min(order).alias("least")).join(parts, "node", "left").withColumn("root", F.coalesce("component", "node"))

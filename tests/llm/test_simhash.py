@@ -133,3 +133,41 @@ def test_near_copies_by_similarity(spark, monkeypatch, part):
     many = set(range(len(texts))) - set(label)
     assert len(many - left) >= 0.95 * len(many)
     assert len(left - set(label)) <= 0.05 * len(many)
+
+
+def test_pairs_that_a_failed_forest_stood_for_are_looked_for_again(spark, monkeypatch):
+    """Two like texts whose sketches are nearest to a text unlike both, and a crowd of such texts: no forest has their own pair."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    prose = lambda: [rng.choice(words) for _ in range(100)]
+    one = prose()
+    texts = [one, [*one[:-1], "other"], *(prose() for _ in range(40))]
+    base = np.random.default_rng(4).integers(0, 1 << 63, 4, dtype=np.uint64)
+    keys = np.stack([base] * len(texts))
+    keys[0, 3] ^= np.uint64(0b1111)
+    keys[1, 3] ^= np.uint64(0b11110000)
+    for k in range(2, len(texts)):
+        keys[k, 2] ^= np.uint64(k % 3)
+    nodes = spark.createDataFrame([(100 + k, *map(int, row.view(np.int64))) for k, row in enumerate(keys)], "node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    held = spark.createDataFrame([(100 + k, " ".join(t)) for k, t in enumerate(texts)], "node bigint, text string")
+    pairs = lambda df: sorted((r.u, r.v) for r in df.collect())
+    links = simhash.similar_links(nodes)
+    assert pairs(simhash._verified(links, held, 5, 0.8)) == []
+    assert pairs(simhash.verified_links(nodes, held, 5, 0.8, links)) == [(100, 101)]
+
+
+@pytest.mark.parametrize("part", [100_000, 20])
+def test_unlinked_pairs_are_all_of_them_once(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "LEAF", 16)
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (6, 4), dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (60, 4, 5), dtype=np.uint64), axis=2)
+    keys = np.concatenate([base, base.repeat(10, 0) ^ flips, base, base, base])
+    label = rng.integers(0, 8, len(keys))
+    rows = [(k, *map(int, key.view(np.int64)), int(label[k])) for k, key in enumerate(keys)]
+    got = [tuple(r) for r in simhash.unlinked_pairs(spark.createDataFrame(rows, "node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, label bigint")).collect()]
+    bits = np.unpackbits(keys.astype(">u8").view(np.uint8).reshape(len(keys), -1), axis=1)
+    shares = lambda i, j: any((bits[i, own] == bits[j, own]).all() for own in simhash._drawn())
+    d = np.bitwise_count(keys[:, None] ^ keys[None]).sum(2)
+    assert sorted(got) == [(i, j, int(d[i, j])) for i in range(len(keys)) for j in range(i + 1, len(keys)) if d[i, j] <= simhash.WIDE_BUDGET and label[i] != label[j] and shares(i, j)]
