@@ -12,12 +12,12 @@ from graphloom.operators import workflow as O
 from graphloom.plans import catalog_queries, constraint_queries
 from graphloom.plans import fixtures as X
 from graphloom.plans import grounding_queries as GQ
-from graphloom.plans.registry import query, table
+from graphloom.plans.registry import dealt, query, table
 
 
 def shape_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part is a node shape with a blank property shape; every ninth has a property that nothing refers to."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(spark, sf_dir, "part")
     s, b = F.concat(F.lit("s"), F.col("p_partkey").cast("string")), F.concat(F.lit("b"), F.col("p_partkey").cast("string"))
     row = lambda a, ak, q, o, k: F.struct(a.alias("s"), F.lit(ak).alias("s_kind"), F.lit(q).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"))
     ref = F.when(F.col("p_partkey") % 9 != 0, row(s, "iri", "sh:property", b, "bnode"))

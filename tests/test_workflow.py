@@ -91,3 +91,11 @@ def test_batch(spark):
     resolved, outcomes, total = O.run_batch(rules, X.terms(spark), lambda i, t: Outcome("s", True))
     assert {r.rule_id: r.resolved_by for r in resolved.collect()} == {1: "label", 2: "none"}
     assert [r.status for r in outcomes.collect()] == ["valid"] and total.first().total == 1
+
+
+def test_rows_that_become_many_are_dealt_out(spark, sf_dir):
+    """The part table is one small file; its triples aren't made in one task."""
+    from graphloom.plans import workflow_queries
+
+    assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() == 1
+    assert workflow_queries.shape_triples(spark, sf_dir).rdd.getNumPartitions() == 4
