@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm._shared import connected_components, drop, frames, groups, materialize
@@ -32,6 +32,8 @@ PART = 100_000
 WIDE, ROOTS, ROOT_BITS, WIDE_BUDGET = 4, 64, 20, 50
 #: A root with no more nodes than this is compared without a trie.
 SMALL = 64
+#: Nodes and characters of a part of a class that is looked through again.
+TORN, TORN_CHARS = 8192, 1 << 25
 
 
 def shingles(text: str | None, words_per_shingle: int) -> np.ndarray:
@@ -468,12 +470,75 @@ def _verified(links: DataFrame, texts: DataFrame, words_per_shingle: int, at_lea
     return frames(both, run, "u bigint, v bigint")
 
 
+def similarities(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """The similarity of each of one with each of the other: sets of shingles, each sorted and distinct."""
+    size = np.array([len(x) for x in one])[:, None], np.array([len(x) for x in other])[None]
+    both = np.zeros((len(one), len(other)))
+    row = [np.repeat(np.arange(len(of)), [len(x) for x in of]) for of in (one, other)]
+    known, at = np.unique(np.concatenate([*one, *other]), return_inverse=True)
+    at = at[: len(row[0])], at[len(row[0]) :]
+    for low in range(0, len(known), 8192):
+        has = []
+        for k, of in enumerate((one, other)):
+            on = (at[k] >= low) & (at[k] < low + 8192)
+            has.append(np.zeros((len(of), min(8192, len(known) - low)), np.float32))
+            has[k][row[k][on], at[k][on] - low] = 1
+        both += has[0] @ has[1].T
+    return np.where(size[0] + size[1] > 0, both / np.maximum(size[0] + size[1] - both, 1), 1.0)
+
+
+def torn_links(nodes: DataFrame, words_per_shingle: int, at_least: float, budget: int = WIDE_BUDGET) -> DataFrame:
+    """(u, v): links that hold and span all pairs within budget bits, of one class and of two labels, whose texts hold.
+
+    nodes: (node, s0.., text, wide, label), wide the class. A class is dealt out as pairs of its parts. A task compares the texts
+    of its pairs where they are and gives a spanning forest; pairs that fail are never rows.
+    """
+    chars = F.sum(F.coalesce(F.length("text"), F.lit(0)))
+    parts = F.ceil(F.greatest(F.count("*") / TORN, chars / TORN_CHARS)).cast("int")
+    size = materialize(nodes.groupBy("wide").agg(F.greatest(parts, F.lit(1)).alias("parts")), "torn")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, "part").alias("i"), F.greatest(k, "part").alias("j"))))
+    held = nodes.join(size, "wide").withColumn("part", part).withColumn("p", pair)
+    dealt = held.select("wide", "p.i", "p.j", "part", "node", *_WORDS, "label", "text")
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def links(g: pd.DataFrame) -> list[tuple[int, int]]:
+        keys = g[_WORDS].to_numpy(np.int64).view(np.uint64)
+        order = np.lexsort(keys.T[::-1])
+        keys, part, node, text = keys[order], g["part"].to_numpy(np.int64)[order], g["node"].to_numpy(np.int64)[order], g["text"].to_numpy()[order]
+        label = g["label"].to_numpy(np.int64)[order].copy()
+        own: dict[int, np.ndarray] = {}
+        found = []
+        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
+        for a, b in wide_pairs(keys, label, np.flatnonzero(part == i), None if i == j else np.flatnonzero(part == j), budget):
+            for k in {*a.tolist(), *b.tolist()} - own.keys():
+                own[k] = np.unique(shingles(text[k], words_per_shingle))
+            (x, at_x), (y, at_y) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+            if len(a) * 8 < len(x) * len(y):
+                holds = np.array([similarity(own[p], own[q]) >= at_least for p, q in zip(a.tolist(), b.tolist(), strict=True)])
+            else:
+                holds = similarities([own[k] for k in x.tolist()], [own[k] for k in y.tolist()])[at_x, at_y] >= at_least
+            for p, q in zip(a[holds].tolist(), b[holds].tolist(), strict=True):
+                if label[p] != label[q]:
+                    found.append((int(node[p]), int(node[q])))
+                    label[label == label[p]] = label[q]  # wide_pairs leaves what is of one label by now
+        return found
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in groups(batches, ["wide", "i", "j"]):
+            found = links(g) if len(g) > 1 and g["label"].nunique() > 1 else []
+            if found:
+                u, v = np.array(found, np.int64).T
+                yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    return frames(dealt.repartition(n, "wide", "i", "j").sortWithinPartitions("wide", "i", "j"), run, "u bigint, v bigint")
+
+
 def verified_links(nodes: DataFrame, texts: DataFrame, words_per_shingle: int, at_least: float, links: DataFrame) -> DataFrame:
     """(u, v): those of links that hold, and as many of the pairs that the forests left out as it takes to join all that hold.
 
     A forest spans the pairs below a root, but a link of it may fail. What links join, though links that hold don't,
-    is therefore looked through again: of all its pairs within the budget the nearest ones of each two classes
-    are verified, then more and more of them, until no pair of two classes is left unverified.
+    is therefore looked through again, whole: all its pairs within the budget (see torn_links).
     """
     good = materialize(_verified(links, texts, words_per_shingle, at_least), "verified")
     if good.count() == links.count():
@@ -482,17 +547,8 @@ def verified_links(nodes: DataFrame, texts: DataFrame, words_per_shingle: int, a
     both = label(links, "wide").join(label(good, "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     both = materialize(both, "classes")
     torn = both.groupBy("wide").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("wide")
-    again = nodes.select("node", *_WORDS).join(both.join(torn, "wide", "left_semi").select("node", "label"), "node")
-    left, many = materialize(unlinked_pairs(again).join(links, ["u", "v"], "left_anti"), "left-out"), 8
-    while not left.isEmpty():
-        of = label(good, "label")
-        ends = left.join(of.select(F.col("node").alias("u"), F.col("label").alias("x")), "u", "left").join(of.select(F.col("node").alias("v"), F.col("label").alias("y")), "v", "left")
-        x, y = F.coalesce("x", "u"), F.coalesce("y", "v")
-        ends = ends.select("u", "v", "d", F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).where("x <> y")
-        near = materialize(ends.withColumn("nr", F.row_number().over(Window.partitionBy("x", "y").orderBy("d", "u", "v"))).drop("x", "y"), "nearest")
-        good = materialize(good.unionByName(_verified(near.where(F.col("nr") <= many).select("u", "v"), texts, words_per_shingle, at_least)), "verified")
-        left, many = near.where(F.col("nr") > many).drop("nr"), 16 * many
-    return good
+    again = nodes.select("node", *_WORDS).join(both.join(torn, "wide", "left_semi"), "node").join(texts.select("node", "text"), "node")
+    return materialize(good.unionByName(torn_links(again, words_per_shingle, at_least)), "verified")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, at_least: float = 0.8) -> DataFrame:

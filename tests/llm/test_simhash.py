@@ -171,3 +171,26 @@ def test_unlinked_pairs_are_all_of_them_once(spark, monkeypatch, part):
     shares = lambda i, j: any((bits[i, own] == bits[j, own]).all() for own in simhash._drawn())
     d = np.bitwise_count(keys[:, None] ^ keys[None]).sum(2)
     assert sorted(got) == [(i, j, int(d[i, j])) for i in range(len(keys)) for j in range(i + 1, len(keys)) if d[i, j] <= simhash.WIDE_BUDGET and label[i] != label[j] and shares(i, j)]
+
+
+@pytest.mark.parametrize("torn", [8192, 40])
+def test_pairs_of_a_torn_class_are_never_rows(spark, monkeypatch, torn):
+    """A large class of near sketches and unlike texts, with three alike: what is written grows with its nodes, not with their pairs."""
+    monkeypatch.setattr(simhash, "TORN", torn)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [[rng.choice(words) for _ in range(60)] for _ in range(150)]
+    texts[70], texts[140] = [*texts[3][:-1], "other"], ["first", *texts[3][1:]]
+    base = np.random.default_rng(4).integers(0, 1 << 63, 4, dtype=np.uint64)
+    keys = np.stack([base] * len(texts))
+    keys[:, 3] ^= np.arange(len(texts), dtype=np.uint64)
+    nodes = spark.createDataFrame([(k, *map(int, row.view(np.int64))) for k, row in enumerate(keys)], "node bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    held = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "node bigint, text string")
+    links = simhash.similar_links(nodes).localCheckpoint()
+    written = []
+    kept = simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag: written.append(kept(df, tag)) or written[-1])
+    found = [(r.u, r.v) for r in simhash.verified_links(nodes, held, 5, 0.8, links).collect()]
+    alike = classes(len(texts), found)
+    assert alike[3] == alike[70] == alike[140] and all(jaccard(" ".join(texts[u]), " ".join(texts[v])) >= 0.8 for u, v in found)
+    assert max(df.count() for df in written) <= len(texts)
