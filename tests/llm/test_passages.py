@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from graphloom.llm import _shared
 from graphloom.llm import passages as P
 
 
@@ -142,3 +143,14 @@ def test_links_across_batches(monkeypatch):
         monkeypatch.setattr(P, "_ROWS", size)
         batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["seed", "y", "y_pos"]) for i in range(0, len(rows), size)]
         assert {tuple(r.values()) for b in P.link(batches) for r in b.to_pylist()} == want
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    """Seeds that are shuffled and written must not stay on disk beside the occurrences and anchors."""
+    disk = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())}
+    data = lambda names: {x for x in names if x.startswith("shuffle") and x.endswith(".data")}
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 400}" for k in range(120))) for i in range(60)], "y bigint, text string")
+    before, setting = disk(), spark.conf.get(_shared._CLEANUP, None)
+    seeds = _shared.materialize(P.repeated_seeds(docs, 4), "seeds")
+    assert not data(disk() - before)
+    assert seeds.count() > 0 and spark.conf.get(_shared._CLEANUP, None) == setting
