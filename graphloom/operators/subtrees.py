@@ -23,7 +23,6 @@ SH = G.ESSENTIAL["sh"]
 TRIPLE = ["s", "s_kind", "p", "o", "o_kind", "o_dt", "o_lang"]
 #: Objects of one predicate in one statement, and triples of a blank node that is written within another.
 CHUNK, NESTED = 1000, 1000
-_WIDE = "decimal(38,0)"
 
 
 def _line(told: Column) -> Column:
@@ -31,38 +30,73 @@ def _line(told: Column) -> Column:
     return F.concat_ws("\x1f", "p", F.substring("o_kind", 1, 1), told, F.coalesce("o_dt", F.lit("")), F.coalesce(F.lower("o_lang"), F.lit("")))
 
 
-def _sums(line: Column) -> list[Column]:
-    """Sums that tell a set of lines, whatever their order; aggregates."""
-    h = F.sha2(line, 256)
-    part = lambda i: F.conv(F.substring(h, 15 * i + 1, 15), 16, 10).cast("bigint").cast(_WIDE)
-    return [F.count("*").alias("n"), *[F.sum(part(i)).alias(f"h{i}") for i in range(4)]]
+def _hashes(*line: Column) -> list[Column]:
+    """128 bits of a line of columns that are never null."""
+    return [F.xxhash64(F.lit(i), *line).alias(f"x{i}") for i in range(2)]
+
+
+def _sums(hashes: list[Column] | None = None) -> list[Column]:
+    """Sums that tell a set of lines by their hashes (x0, x1), whatever their order; aggregates. Of halves, as 64 bits hold two billion of these."""
+    part = lambda x, high: F.shiftrightunsigned(x, 32) if high else x.bitwiseAND(F.lit(0xFFFFFFFF))
+    return [F.coalesce(F.sum(part(x, high)), F.lit(0)).alias(f"h{2 * i + high}") for i, x in enumerate(hashes or [F.col("x0"), F.col("x1")]) for high in (0, 1)]
+
+
+_SUMS = ["n", "h0", "h1", "h2", "h3"]
 
 
 def _told() -> Column:
-    return F.sha2(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("n", "h0", "h1", "h2", "h3")]), 256)
+    return F.sha2(F.concat_ws(" ", *[F.col(c).cast("string") for c in _SUMS]), 256)
 
 
 def subtree_hashes(triples: DataFrame) -> DataFrame:
     """S70. (node, hash, depth) of blank nodes: equal for subtrees that are equal up to names of blank nodes.
 
-    A blank node without triples is a leaf. Nodes that lead into a cycle have no row.
+    A blank node without triples is a leaf. Nodes that lead into a cycle have no row. triples are read twice.
+
+    A node is one row: the sums of what it says without blank nodes, and how many references to blank nodes
+    wait for their hashes. References are looked up once by what they refer to, a level a round; what they
+    then say is added up by subject. Only what still waits goes on.
     """
-    t = G.shared(triples.select(TRIPLE).distinct(), "subtrees")
-    nodes = t.where("s_kind = 'bnode'").select(F.col("s").alias("node")).unionByName(t.where("o_kind = 'bnode'").select(F.col("o").alias("node"))).distinct()
-    edges = G.shared(t.where("s_kind = 'bnode' and o_kind = 'bnode'").select(F.col("s").alias("node"), F.col("o").alias("below")).distinct(), "below")
-    own = t.where("s_kind = 'bnode'")
-    known = G.Rounds(triples.sparkSession, "hashes")
-    known.add(triples.sparkSession.createDataFrame([], "node string, hash string, depth int"))
-    open_, depth = G.shared(nodes, "open"), 0
+    spark = triples.sparkSession
+    t = triples.select(TRIPLE).where("s_kind = 'bnode'")
+    none = lambda c: F.coalesce(c, F.lit(""))
+    tail = [none(F.col("o_dt")), none(F.lower("o_lang"))]
+    blank = F.coalesce(F.col("o_kind") == "bnode", F.lit(False))
+    # o_lang as it stands tells triples apart, in lower case it is what they say
+    raw = F.xxhash64(none(F.col("o")), none(F.col("o_lang")))
+    parts = G.dealt_parts(t)
+    rows = t.select(F.col("s").alias("node"), blank.alias("blank"), raw.alias("raw"), *_hashes(F.col("p"), none(F.substring("o_kind", 1, 1)), none(F.col("o")), *tail))
+    rows = rows.repartition(parts, "node").groupBy("node", "blank", "raw", "x0", "x1").agg(F.lit(1).alias("one"))
+    x = [F.when(F.col("blank"), 0).otherwise(F.col(c)).cast("bigint") for c in ("x0", "x1")]
+    states = G.Rounds(spark, "hashes")
+    depth = lambda d: F.lit(d).alias("depth")
+    state = states.add(rows.groupBy("node").agg(F.count_if(~F.col("blank")).alias("n"), *_sums(x), F.count_if("blank").alias("waits")).select("node", *_SUMS, "waits", depth(0)))
+    refs = t.where("o_kind = 'bnode'").select("o", F.col("s").alias("node"), "p", none(F.col("o_dt")).alias("o_dt"), none(F.col("o_lang")).alias("o_lang"))
+    refs = refs.repartition(parts, "o").dropDuplicates()
+    said = _hashes(F.col("p"), F.lit("b"), *[F.col(c) for c in _SUMS], F.col("o_dt"), F.lower("o_lang"))
+    level = 0
     while True:
-        waits = edges.join(open_.select(F.col("node").alias("below")), "below", "left_semi").select("node").distinct()
-        ready = G.shared(open_.join(waits, "node", "left_anti"), "ready")
-        if ready.isEmpty():
-            return known.all()
-        lines = own.join(ready.select(F.col("node").alias("s")), "s", "left_semi").join(known.all().select(F.col("node").alias("o"), F.lit("bnode").alias("o_kind"), "hash"), ["o", "o_kind"], "left")
-        made = lines.groupBy(F.col("s").alias("node")).agg(*_sums(_line(F.coalesce("hash", "o")))).select("node", _told().alias("hash"))
-        known.add(ready.join(made, "node", "left").select("node", F.coalesce("hash", F.sha2(F.lit(""), 256)).alias("hash"), F.lit(depth).alias("depth")))
-        open_, depth = G.shared(open_.join(ready, "node", "left_anti"), "open"), depth + 1
+        # what is looked up is written with what it says, or as it is if that isn't known yet
+        known = F.col("waits") == 0
+        if level == 0:
+            below = state.select(F.col("node").alias("o"), *_SUMS, "waits")
+            met = refs.join(below, "o", "left").withColumn("bare", F.col("waits").isNull()).fillna(0, [*_SUMS, "waits"])
+        else:
+            met = refs.join(state.where(known).select(F.col("node").alias("o"), *_SUMS, "waits"), "o", "left").withColumn("bare", F.lit(False))
+        done = F.coalesce(known, F.lit(False))
+        rest = [F.when(~done, F.col(c)).alias(c) for c in ("p", "o_dt", "o_lang")]
+        met = G.shared(met.select("node", F.when(~done | F.col("bare"), F.col("o")).alias("o"), *rest, *[F.when(done, h).alias(f"x{i}") for i, h in enumerate(said)], "bare"), "references")
+        told = met.where("x0 is not null").groupBy("node").agg(F.count("*").alias("n"), *_sums())
+        if level == 0:
+            bare = met.where("bare").select(F.col("o").alias("node")).distinct()
+            states.add(bare.select("node", *[F.lit(0).cast("bigint").alias(c) for c in [*_SUMS, "waits"]], depth(0)))
+        waiting = state.where("waits > 0")
+        both = waiting.select("node", *_SUMS, "waits").unionByName(told.withColumn("waits", -F.col("n")))
+        level += 1
+        state = states.add(both.groupBy("node").agg(*[F.sum(c).alias(c) for c in [*_SUMS, "waits"]]).select("node", *_SUMS, "waits", depth(level)))
+        refs = met.where("x0 is null").select("o", "node", "p", "o_dt", "o_lang")
+        if state.where("waits = 0").isEmpty():
+            return states.all().where("waits = 0").select("node", _told().alias("hash"), "depth")
 
 
 def canonical_hash(rows: list[tuple], root: str) -> str:
@@ -146,7 +180,7 @@ def inventory(triples: DataFrame) -> DataFrame:
     signed = G.shared(signatures(t, blank), "signed")
     # the signature of a property shape with a name is what it says, of a value what it is
     lines = t.join(has.unionByName(alone.select("s")).distinct(), "s", "left_semi").where("s_kind = 'iri'").join(subtree_hashes(t).select(F.col("node").alias("o"), "hash"), "o", "left")
-    names = lines.groupBy("s").agg(*_sums(_line(F.coalesce("hash", "o")))).select(F.col("s").alias("root"), F.concat(F.col("s"), F.lit(" "), _told()).alias("signature"))
+    names = lines.select("s", *_hashes(_line(F.coalesce("hash", "o")))).groupBy("s").agg(F.count("*").alias("n"), *_sums()).select(F.col("s").alias("root"), F.concat(F.col("s"), F.lit(" "), _told()).alias("signature"))
     every = signed.unionByName(names)
     attached = F.col("p") == SH + "property"
     value = F.when(F.col("o_kind") == "bnode", F.col("signature")).when(attached, F.coalesce("signature", "o")).otherwise(F.sha2(_line(F.col("o")), 256))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,17 +24,25 @@ def _rows(df: DataFrame, cells: list[tuple]) -> DataFrame:
 
 
 def order_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order as a blank node over its line items, and each of these over its shipping; written, as names are made up."""
-    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").withColumn("nr", F.monotonically_increasing_id())
-    order = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
-    top = _rows(o, [(order, "bnode", NS + "status", F.col("o_orderstatus"), "literal", XSD + "string"), (order, "bnode", NS + "priority", F.col("o_orderpriority"), "literal", XSD + "string")])
-    name = lambda x: F.concat(F.lit(x), F.col("nr").cast("string"))
-    size = F.floor(F.col("l_quantity") / 25).cast("int")
-    below = _rows(l, [
-        (F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), "bnode", NS + "line", name("l"), "bnode", None), (name("l"), "bnode", NS + "flag", F.col("l_returnflag"), "literal", XSD + "string"),
-        (name("l"), "bnode", NS + "ships", name("s"), "bnode", None), (name("s"), "bnode", NS + "size", size, "literal", XSD + "integer"),
-    ])
-    return G.shared(top.unionByName(below), "trees")
+    """Each order as a blank node over its line items, and each of these over its shipping.
+
+    Line items are numbered in a written copy, as names are made up; a predicate is one scan.
+    """
+    o = table(spark, sf_dir, "orders")
+    l = G.shared(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", F.floor(F.col("l_quantity") / 25).cast("int").alias("size"), F.monotonically_increasing_id().alias("nr")), "lines")
+    name = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+
+    def said(df: DataFrame, s, p: str, of, kind: str, dt: str | None) -> DataFrame:
+        row = df.select(s.alias("s"), F.lit("bnode").alias("s_kind"), F.lit(NS + p).alias("p"), of.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), none.alias("o_lang"))
+        return row.where("s is not null and o is not null")
+
+    top = [said(o, name("o", "o_orderkey"), p, F.col(c), "literal", XSD + "string") for p, c in (("status", "o_orderstatus"), ("priority", "o_orderpriority"))]
+    below = [
+        said(l, name("o", "l_orderkey"), "line", name("l", "nr"), "bnode", None), said(l, name("l", "nr"), "flag", F.col("l_returnflag"), "literal", XSD + "string"),
+        said(l, name("l", "nr"), "ships", name("s", "nr"), "bnode", None), said(l, name("s", "nr"), "size", F.col("size"), "literal", XSD + "integer"),
+    ]
+    return reduce(DataFrame.unionByName, top + below)
 
 
 @query(

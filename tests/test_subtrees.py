@@ -149,3 +149,14 @@ def test_turtle_of_shared_nodes_and_cycles(spark, tmp_path, monkeypatch):
     assert text.count("<http://x/many>") > 5 and "[] <http://x/v>" in text
     T.write_turtle(triples(spark, []), str(tmp_path / "d"))
     assert not "".join(p.read_text() for p in (tmp_path / "d").glob("part-*"))
+
+
+def test_hashing_writes_references_alone(spark, monkeypatch):
+    """Triples are read as they are: what hashing shares is a row a reference and level, never the triples or the open nodes again."""
+    rows = [(f"_o{i}", "line", f"_l{i}-{k}") for i in range(20) for k in range(3)] + [(f"_l{i}-{k}", "ships", f"_s{i}-{k}") for i in range(20) for k in range(3)]
+    rows += [(f"_s{i}-{k}", "size", f"={k % 2}") for i in range(20) for k in range(3)] + [(f"_o{i}", "state", f"={i % 2}") for i in range(20)]
+    written, shared = [], G.shared
+    monkeypatch.setattr(G, "shared", lambda df, tag: written.append(shared(df, tag)) or written[-1])
+    found = T.subtree_hashes(triples(spark, rows + rows)).collect()
+    assert len({r.hash for r in found if r.node.startswith("_o")}) == 2 and {r.depth for r in found if r.node.startswith("_o")} == {2}
+    assert len(found) == 140 and sum(df.count() for df in written) <= 120 + 60
