@@ -277,3 +277,31 @@ def test_triples_are_filtered_before_they_are_shuffled(spark):
     assert out.count() == 4 and "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     params = spark.createDataFrame([("S", None, "s1", "<p>+", "minCount", "1", None, "v"), ("S", None, "s1", "(<p>|<q>)", "minCount", "1", None, "v"), ("S", None, "s1", "(<p>|<q>)", "in", None, ["1"], "v")], PARAM)
     assert [(r.shape, r.path) for r in D.counted_paths(params).collect()] == [("S", "<p>+")]
+
+
+@pytest.mark.parametrize("bits", [62, 1])
+def test_what_a_node_fails_of_is_one_number(spark, monkeypatch, bits):
+    """Qualified counts along a step backwards: no walk, and each failure is joined once, not once a constraint; many members are counted."""
+    monkeypatch.setattr(D, "BITS", bits)
+    rows = [(f"l{i}", "of", f"o{i // 3}") for i in range(9)] + [(f"l{i}", "size", f"={i}") for i in range(9)]
+    rows += [("l8", "of", "o2"), ("l1", "flag", "=R")]
+    params = [("T", None, f"o{k}", "^<of>", c, n, ms, "sh:Violation") for k in range(4) for c, n, ms in (("qualifiedMinCount", "2", ["Flag"]), ("qualifiedMaxCount", "0", ["Flag"]), ("qualifiedMinCount", "2", ["Size", "Flag"]))]
+    params += [("Flag", None, None, "flag", "minCount", "1", None, "sh:Violation"), ("Size", None, None, "size", "hasValue", "=4", None, "sh:Violation")]
+    walks, walk = [], P.Walk
+    monkeypatch.setattr(P, "Walk", lambda *a: walks.append(a) or walk(*a))
+    joins, cls = [], type(spark.range(1))
+    join = cls.join
+    monkeypatch.setattr(cls, "join", lambda self, other, on=None, how=None: joins.append((on, how)) or join(self, other, on, how))
+    got = run(spark, rows, params)
+    least = [("T", f"o{k}", "^<of>", "", "qualifiedMinCount") for k in range(4) for _ in range(2)]
+    assert got == sorted([*least, ("T", "o0", "^<of>", "", "qualifiedMaxCount")])
+    assert not walks and ((["member", "term"], "left_anti") in joins) == (bits == 1)
+
+
+def test_triples_are_read_by_predicate(spark, sf_dir):
+    """Predicates and types that nothing asks for aren't scanned."""
+    t, types = validation_queries.graph(spark, sf_dir)
+    text = P.only(t, spark.createDataFrame([("quantity",)], "p string"))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "Generate" not in text
+    text = P.only(types, spark.createDataFrame([("Order",)], "want string"), "want", "type")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1
