@@ -305,3 +305,28 @@ def test_triples_are_read_by_predicate(spark, sf_dir):
     assert text.count("FileScan") == 1 and "Generate" not in text
     text = P.only(types, spark.createDataFrame([("Order",)], "want string"), "want", "type")._jdf.queryExecution().executedPlan().toString()
     assert text.count("FileScan") == 1
+
+
+def test_rows_meet_places_without_a_sort_of_rows(spark, monkeypatch):
+    """A level's rows are joined with what their nodes lead to, never grouped by all their columns; a node of several places is one row that is walked."""
+    monkeypatch.setattr(P, "SMALL", 0)
+    plans, shared = {}, G.shared
+    monkeypatch.setattr(G, "shared", lambda df, tag: plans.setdefault(tag, []).append(df._jdf.queryExecution().executedPlan().toString()) or shared(df, tag))
+    rows = [(f"s{i}", "up", f"t{i // 10}") for i in range(40)] + [("s3", "up", "t0"), ("s5", "up", "t2")]
+    df = spark.createDataFrame([("<up>+", f"s{i}", f"s{i}", "iri", None, None) for i in range(40)], "path string, focus string, value string, kind string, dt string, lang string")
+    walk = P.Walk(df, facts(spark, rows))
+    assert walk.levels[0].count() == 40 and [r.focus for r in walk.levels[0].where("not easy").collect()] == ["s5"]
+    assert {r.focus: r.n for r in walk.counts().collect()} == {f"s{i}": 2 if i == 5 else 1 for i in range(40)}
+    assert not [x for tag in ("level", "places") for x in plans[tag] if "SortAggregate" in x]
+
+
+def test_crowds_are_dealt_out(spark, monkeypatch):
+    """Rows that share a place with many others meet its ends in parts."""
+    monkeypatch.setattr(P, "SMALL", 0)
+    monkeypatch.setattr(P, "CROWD", 10)
+    rows = [(f"s{i}", "in", f"n{i % 2}") for i in range(60)]
+    df = spark.createDataFrame([("(<in>/^<in>)", f"s{i}", f"s{i}", "iri", None, None) for i in range(60)], "path string, focus string, value string, kind string, dt string, lang string")
+    out = P.Walk(df, facts(spark, rows)).nodes()
+    got = sorted((r.focus, r.value) for r in out.collect())
+    assert got == sorted((f"s{i}", f"s{k}") for i in range(60) for k in range(60) if i % 2 == k % 2)
+    assert "part#" in out._jdf.queryExecution().optimizedPlan().toString()
